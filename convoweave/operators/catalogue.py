@@ -19,26 +19,35 @@ _CHECKPOINT = r"^checkpoint-([0-9]+)\z"
 def summarise_runs(entries: DataFrame, *, results_root: str = "results") -> DataFrame:
     """One row per run: ``finished``, ``latest_checkpoint_step``, scripts.
 
-    One aggregate of sums, maxima and minima: each map task sends a single
-    partial row per run, however many files the run has.
+    Aggregated twice. The first step groups by run and script path (NULL for all
+    other files), so its buffers hold only flags and numbers, which Spark keeps
+    in a hash table without sorting the listing; each map task sends one partial
+    row per run and script, however many files a run has. The second step picks
+    the scripts from those few rows.
     """
     rest, is_dir, override = F.col("rest"), F.col("is_dir"), F.col("is_override")
+    is_checkpoint = is_dir & F.startswith(rest, F.lit("checkpoint-"))
     step = F.regexp_extract(rest, _CHECKPOINT, 1).try_cast("bigint")
-    below_slurm = F.substring(rest, len("slurm/") + 1, 1 << 30)
     is_script = (
         F.startswith(rest, F.lit("slurm/"))
         & F.endswith(rest, F.lit(".sh"))
-        & ~F.contains(below_slurm, F.lit("/"))
+        & ~F.contains(F.substring(rest, len("slurm/") + 1, 1 << 30), F.lit("/"))
     )
-    grouped = entries.groupBy("kind", "run").agg(
-        F.count_if(~override).alias("_entries"),
-        F.coalesce(F.bool_or((rest == FINISHED_MARKER) & ~is_dir), F.lit(False)).alias("finished"),
-        F.max(F.when(is_dir & rest.rlike(_CHECKPOINT), step)).alias("latest_checkpoint_step"),
-        F.min(F.when(is_script, F.col("path"))).alias("_slurm"),
-        F.count_if(is_script).alias("_scripts"),
-        F.min(F.when(override, F.col("path"))).alias("_override"),
+    by_script = entries.groupBy(
+        "kind", "run", "is_override", F.when(override | is_script, F.col("path")).alias("_script")
+    ).agg(
+        F.max(F.coalesce((rest == FINISHED_MARKER) & ~is_dir, F.lit(False))).alias("_finished"),
+        F.max(F.when(is_checkpoint, step)).alias("_step"),
     )
-    return grouped.where(F.col("_entries") > 0).select(
+    grouped = by_script.groupBy("kind", "run").agg(
+        F.max(~override).alias("_exists"),
+        F.max("_finished").alias("finished"),
+        F.max("_step").alias("latest_checkpoint_step"),
+        F.min(F.when(~override, F.col("_script"))).alias("_slurm"),
+        F.count(F.when(~override, F.col("_script"))).alias("_scripts"),
+        F.min(F.when(override, F.col("_script"))).alias("_override"),
+    )
+    return grouped.where("_exists").select(
         "kind",
         "run",
         F.concat_ws("/", F.lit(results_root.rstrip("/")), "kind", "run").alias("path"),

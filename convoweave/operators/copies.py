@@ -51,7 +51,7 @@ def with_content_key(
     # The explicit number keeps adaptive execution from merging the slices,
     # which are tiny until they are expanded.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last_slice = F.floor((F.col(count) - 1) / copies_per_row)
+    last_slice = F.expr(f"({count} - 1) div {copies_per_row}")
     heavy = (
         counted.where(F.col(count) > copies_per_row)
         .withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), last_slice)))

@@ -59,8 +59,13 @@ class _Interval:
     high: int
     rows: int
     rank: int
+    missed: bool = False
 
     def window(self) -> tuple[int, int]:
+        """Where rank should lie; after a miss the whole interval, so that two
+        passes narrow it at least by the number of slots."""
+        if self.missed:
+            return self.low, self.high
         width = self.high - self.low
         share = self.rank / self.rows
         spread = _SIGMAS * math.sqrt(share * (1 - share) / self.rows) + _SIGMAS / self.rows
@@ -136,7 +141,7 @@ def _narrow(
         low, high, step = windows[name]
         seen = counts[name].pop(-1, 0)
         if interval.rank <= seen:
-            out[name] = replace(interval, high=low, rows=seen)
+            out[name] = replace(interval, high=low, rows=seen, missed=True)
             continue
         for slot, rows in sorted(counts[name].items()):
             if interval.rank <= seen + rows:
@@ -146,7 +151,7 @@ def _narrow(
             seen += rows
         else:
             out[name] = _Interval(
-                high, interval.high, interval.rows - seen, interval.rank - seen
+                high, interval.high, interval.rows - seen, interval.rank - seen, missed=True
             )
     return out
 
@@ -167,7 +172,8 @@ def _fetch(keys: Mapping[str, DataFrame], intervals: Mapping[str, _Interval]) ->
     )
     cuts: dict[str, Cut] = {}
     last = {}
-    for row in around.orderBy("member", "place").collect():  # two rows per member
+    found = around.collect()  # at most two rows per member
+    for row in sorted(found, key=lambda row: row["place"]):
         member, digest, key = row["member"], row[_DIGEST], row[_KEY]
         if row["place"] == row["rank"]:
             cuts[member], last[member] = Cut(digest), (digest, key)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import POSITION_BITS, position, row_key, stage_digest
+from ..sources.scratch import cut_lineage
 from .running import running_start
 
 # Each shard's order is summed in this many stretches (hash order) ...
@@ -34,17 +35,23 @@ def pack(
     order: str | None = None,
     shard: Column | None = None,
     stretch_bits: int | None = None,
+    materialise: bool = False,
 ) -> DataFrame:
     """Add ``shard``, ``start``, ``block`` and ``offset`` of each row's first token.
 
     By default shard and order derive from the md5 of the key. ``order`` names
     an integer column instead, unique within its shard and without wide gaps;
     ``shard`` gives the shard number as an expression below ``shards``.
+
+    The rows are read twice, for totals and for places. ``materialise`` writes
+    them to shared storage first, which pays if lengths are costly to compute.
     """
     if df.isStreaming:
         raise ValueError("packing orders whole shards and works on batch data only")
     if block < 1 or shards < 1:
         raise ValueError("block and shards must be positive")
+    if materialise:
+        df = cut_lineage(df)
     key = row_key(key_cols)
     digest = "_digest"
     rows = df.withColumn(digest, stage_digest(seed, "pack", "", key)).withColumn("_key", key)
@@ -73,7 +80,7 @@ def pack(
         *df.columns,
         "shard",
         F.col("start").cast("bigint").alias("start"),
-        F.floor(F.col("start") / block).alias("block"),
+        F.expr(f"start div {block}").alias("block"),
         (F.col("start") % block).cast("int").alias("offset"),
     )
 
@@ -81,7 +88,7 @@ def pack(
 def pack_segments(placed: DataFrame, length: str, *, block: int) -> DataFrame:
     """One row per (row, block it reaches into) with the token range ``[from, to)``
     that lies there. Rows without tokens have no segment."""
-    last = F.floor((F.col("start") + F.col(length) - 1) / block)
+    last = F.expr(f"(start + `{length}` - 1) div {block}")
     first_token = F.col("block") * block - F.col("start")
     return (
         placed.where(F.col(length) > 0)

@@ -40,10 +40,19 @@ def drop_messages(splits: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def drop_empty_conversations(df: DataFrame) -> DataFrame:
-    """Drop rows whose ``messages`` is NULL or empty; without the column, none."""
+    """Drop rows whose ``messages`` is NULL or empty; without the column, none.
+
+    The length is taken from one field of the messages, so that passes which
+    only count rows read that field of the files and not the texts.
+    """
     if "messages" not in df.columns:
         return df
-    return df.where(F.col("messages").isNotNull() & (F.size("messages") > 0))
+    element = getattr(df.schema["messages"].dataType, "elementType", None)
+    length = F.col("messages")
+    if isinstance(element, StructType) and element.fields:
+        names = element.fieldNames()
+        length = length["role" if "role" in names else names[0]]
+    return df.where(F.size(length) > 0)
 
 
 def concat_members(frames: Sequence[DataFrame]) -> DataFrame:

@@ -12,7 +12,6 @@ from ..functions.chat import assistant_spans, invalid_messages, render_chat
 from ..functions.tokens import truncate_tokens
 from ..operators.packing import pack, pack_blocks
 from ..sources.contracts import TASK_COLUMNS, task_columns
-from ..sources.scratch import cut_lineage
 
 # Default maximum lengths in tokens.
 MAX_LENGTH = {"sft": 4096, "preference": 2048}
@@ -91,15 +90,11 @@ def preference_text(
 def packed_text(
     text: TrainingText, key_cols: Sequence[str], *, block: int, shards: int, seed: int = 0
 ) -> DataFrame:
-    """Token blocks of fixed length from rendered rows.
-
-    Packing reads the rows twice (totals, then places), so the tokens are
-    written to shared storage once instead of being computed again.
-    """
-    rows = cut_lineage(
-        text.rows.select(*key_cols, "tokens", F.size("tokens").alias("length"))
+    """Token blocks of fixed length from rendered rows."""
+    rows = text.rows.select(*key_cols, "tokens", F.size("tokens").alias("length"))
+    placed = pack(
+        rows, key_cols, "length", block=block, shards=shards, seed=seed, materialise=True
     )
-    placed = pack(rows, key_cols, "length", block=block, shards=shards, seed=seed)
     return pack_blocks(placed, "tokens", block=block)
 
 

@@ -28,31 +28,36 @@ def run_entries(
     path = F.col("path")
     in_results = F.startswith(path, F.lit(below))
     parts = F.split(F.substring(path, len(below) + 1, 1 << 30), "/", 3)
-    kind, run, rest = parts[0], F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
     inside = F.struct(
-        kind.alias("kind"), run.alias("run"), rest.alias("rest"), F.lit(False).alias("is_override")
+        F.get(parts, F.lit(0)).alias("kind"),
+        F.get(parts, F.lit(1)).alias("run"),
+        F.get(parts, F.lit(2)).alias("rest"),
+        F.lit(False).alias("is_override"),
     )
     wanted, entry = in_results, inside
     if scripts_root is not None:
         scripts = f"{scripts_root.rstrip('/')}/"
-        in_scripts = F.startswith(path, F.lit(scripts))
-        name = F.substring(path, len(scripts) + 1, 1 << 30)
         script = F.struct(
             F.lit(script_kind).alias("kind"),
-            F.regexp_extract(name, r"^([^/]*)\.sh\z", 1).alias("run"),
+            F.regexp_extract(
+                F.substring(path, len(scripts) + 1, 1 << 30), r"^([^/]*)\.sh\z", 1
+            ).alias("run"),
             F.lit(None).cast("string").alias("rest"),
             F.lit(True).alias("is_override"),
         )
-        wanted, entry = in_results | in_scripts, F.when(in_results, inside).otherwise(script)
-    found = listing.where(wanted).select("path", "is_dir", entry.alias("entry"))
-    return found.select("entry.*", "path", "is_dir").where(
+        wanted = in_results | F.startswith(path, F.lit(scripts))
+        entry = F.when(in_results, inside).otherwise(script)
+    # Unpacked through a generator, the path is taken apart once per row; as a
+    # plain projection every later filter would repeat it.
+    found = listing.where(wanted).select("path", "is_dir", F.inline(F.array(entry)))
+    return found.where(
         F.col("kind").isin(*KINDS)
         & (F.col("run") != "")
         & ~F.startswith("run", F.lit("."))
         & F.when(F.col("is_override"), ~F.col("is_dir")).otherwise(
             F.col("rest").isNotNull() | F.col("is_dir")
         )
-    )
+    ).select("kind", "run", "rest", "path", "is_dir", "is_override")
 
 
 def run_configs(configs: DataFrame) -> DataFrame:

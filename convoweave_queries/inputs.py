@@ -91,7 +91,8 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     return (
         table(spark, sf_dir, "events")
-        .select(F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+        .select(F.explode(F.array(*entries)).alias("entry"))
+        .where(F.col("entry").isNotNull())
         .select("entry.*")
     )
 

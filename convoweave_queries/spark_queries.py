@@ -315,7 +315,7 @@ def pack_in_hash_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", cw.token_count(F.col("text"), EOS).alias("n_tokens")
     )
-    return cw.pack(docs, ["doc_id"], "n_tokens", block=4096, shards=8, seed=SEED)
+    return cw.pack(docs, ["doc_id"], "n_tokens", block=4096, shards=8, seed=SEED, materialise=True)
 
 
 @query
