@@ -42,11 +42,10 @@ def token_counter(count_batch: Callable[[list[str]], Sequence[int]]) -> Callable
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        known = texts.notna()
-        out = pd.Series([None] * len(texts), dtype="Int32")
-        if known.any():
-            out[known.to_numpy()] = list(count_batch(texts[known].tolist()))
-        return out
+        counts = iter(count_batch(texts.dropna().tolist()))
+        return pd.Series(
+            [next(counts) if known else None for known in texts.notna()], dtype="Int32"
+        )
 
     return count
 

@@ -6,22 +6,33 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..spec import Member
 
 FORMATS = ("parquet", "json", "csv")
 
 
-def dataset_path(root: str, name: str, config: str | None = None, data_dir: str | None = None) -> str:
-    return "/".join([root.rstrip("/"), *(part.strip("/") for part in (name, config, data_dir) if part)])
+def dataset_path(
+    root: str, name: str, config: str | None = None, data_dir: str | None = None
+) -> str:
+    parts = (part.strip("/") for part in (name, config, data_dir) if part)
+    return "/".join([root.rstrip("/"), *parts])
 
 
 def read_table(
-    spark: SparkSession, path: str, format: str = "parquet", options: Mapping[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    format: str = "parquet",
+    options: Mapping[str, str] | None = None,
+    schema: str | StructType | None = None,
 ) -> DataFrame:
+    """A table of files. Give the schema of large JSON and CSV data: inferring it
+    is a pass over everything."""
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, got {format!r}")
-    return spark.read.format(format).options(**(options or {})).load(path)
+    reader = spark.read.format(format).options(**(options or {}))
+    return (reader if schema is None else reader.schema(schema)).load(path)
 
 
 def load_dataset(
@@ -33,13 +44,14 @@ def load_dataset(
     format: str = "parquet",
     split_column: str = "split",
     options: Mapping[str, str] | None = None,
+    schema: str | StructType | None = None,
 ) -> dict[str, DataFrame]:
     """All splits of a dataset, as they are: nothing sampled, filtered or shuffled.
 
     Splits are the values of the partition column; finding them reads no data
     column. Data without that column is one ``train`` split.
     """
-    df = read_table(spark, dataset_path(root, name, config), format, options)
+    df = read_table(spark, dataset_path(root, name, config), format, options, schema)
     if split_column not in df.columns:
         return {"train": df}
     names = sorted(row[0] for row in df.select(split_column).distinct().collect())
@@ -55,6 +67,7 @@ def load_member(spark: SparkSession, member: Member, root: str) -> DataFrame:
         dataset_path(root, member.id, member.config, member.data_dir),
         member.format,
         member.options,
+        member.schema,
     )
     return select_split(df, member)
 

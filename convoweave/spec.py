@@ -63,6 +63,7 @@ class Member:
     name: str | None = None
     format: str = "parquet"
     options: Mapping[str, str] = field(default_factory=dict)
+    schema: str | StructType | None = None
     split_column: str = "split"
 
     def __post_init__(self) -> None:
@@ -93,7 +94,7 @@ class Member:
             )
         optional = (
             "config", "data_dir", "columns", "rename_columns", "final_columns",
-            "transform", "key", "name",
+            "transform", "key", "name", "schema",
         )
         return cls(
             id=spec.get("id"),

@@ -1,0 +1,248 @@
+"""Specification rules and the mixture from scan to written splits."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import convoweave as cw
+from convoweave.sources.contracts import SPLIT_NAMES
+
+from conftest import plan_text
+
+ONE = {"messages": "array(struct('user' AS role, content AS content))"}
+
+
+# --- specification ---------------------------------------------------------
+
+
+def test_defaults_of_a_member_spec():
+    member = cw.Member.from_dict({"id": "a"})
+    assert (member.weight, member.split, member.columns) == (1.0, "train", None)
+    assert cw.Member.from_dict({"id": "a", "weight": None}).weight is None
+    assert cw.Mixture.from_dict({"datasets": [{"id": "a"}]}).seed == 0
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        {"id": None},
+        {"id": " "},
+        {"id": "a", "weight": 0},
+        {"id": "a", "weight": 1.5},
+        {"id": "a", "weight": -1},
+        {"id": "a", "split": "train[:10%]"},
+        {"id": "a", "transform_code": "def f(x): return x"},
+        {"id": "a", "transform": 5},
+    ],
+)
+def test_bad_member_specs(spec):
+    with pytest.raises(ValueError):
+        cw.Member.from_dict(spec)
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        None,
+        [],
+        {"seed": 1},
+        {"datasets": {"id": "a"}},
+        {"datasets": []},
+        {"datasets": [{"id": "a"}], "test_split_size": 0},
+        {"datasets": [{"id": "a"}], "test_split_size": 1},
+    ],
+)
+def test_bad_mixture_specs(spec):
+    with pytest.raises(ValueError):
+        cw.Mixture.from_dict(spec)
+
+
+def test_fraction_map_is_short_for_weights():
+    mixture = cw.Mixture.from_fractions({"a": 0.5, "b": 1}, split=SPLIT_NAMES[0])
+    assert [(m.id, m.weight, m.split) for m in mixture.datasets] == [
+        ("a", 0.5, "train_sft"), ("b", 1, "train_sft"),
+    ]
+
+
+def test_repeated_members_sample_differently(spark):
+    df = spark.range(100)
+    member = cw.Member("a", weight=0.5, key=["id"])
+    plan = cw.plan_mixture(spark, cw.Mixture([member, member]), tables={"a": df})
+    picks = {}
+    for row in plan.frame.collect():
+        picks.setdefault(row._member, set()).add(row.id)
+    assert set(picks) == {"a", "a#2"} and picks["a"] != picks["a#2"]
+
+
+# --- mixture ---------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def root(spark, tmp_path_factory):
+    """Two datasets on disk: one partitioned by split, one without splits."""
+    path = str(tmp_path_factory.mktemp("data"))
+    rows = spark.range(200).select(
+        "id",
+        F.transform(
+            F.sequence(F.lit(1), (F.col("id") % 4).cast("int")),
+            lambda i: F.struct(F.lit("user").alias("role"), i.cast("string").alias("content")),
+        ).alias("messages"),
+        F.when(F.col("id") % 10 == 0, "test_sft").otherwise("train_sft").alias("split"),
+    )
+    rows = rows.withColumn("messages", F.when(F.col("id") % 4 > 0, F.col("messages")))
+    rows.write.partitionBy("split").parquet(f"{path}/chats/default")
+    spark.range(90).select(
+        F.col("id").alias("doc"), F.concat(F.lit("text "), F.col("id") % 30).alias("text")
+    ).write.json(f"{path}/docs/sub")
+    return path
+
+
+def test_load_all_splits_untouched(spark, root):
+    splits = cw.load_dataset(spark, "chats", "default", root=root)
+    assert {name: df.count() for name, df in splits.items()} == {"test_sft": 20, "train_sft": 180}
+    assert splits["test_sft"].columns == ["id", "messages"]
+    assert list(cw.load_dataset(spark, "docs", "sub", root=root, format="json")) == ["train"]
+
+
+def test_member_split_prunes_partitions(spark, root):
+    df = cw.load_member(spark, cw.Member("chats", "default", split="test_sft"), root)
+    assert df.count() == 20 and "split" not in df.columns
+    plan = plan_text(df)
+    assert "PartitionFilters: [isnotnull(split" in plan and "DataFilters: []" in plan
+    with pytest.raises(ValueError):
+        cw.load_member(spark, cw.Member("docs", "sub", split="test", format="json"), root)
+    with pytest.raises(ValueError):
+        cw.load_member(spark, cw.Member("docs", format="avro"), root)
+
+
+def mixture(**changes):
+    spec = {
+        "datasets": [
+            {"id": "chats", "config": "default", "split": "train_sft", "weight": 0.5, "key": ["id"],
+             "columns": ["messages"]},
+            {"id": "docs", "data_dir": "sub", "format": "json", "weight": None,
+             "schema": "doc long, text string",
+             "columns": ["text"], "rename_columns": {"text": "content"}, "transform": ONE,
+             "final_columns": ["messages"]},
+        ],
+        "seed": 5,
+        "test_split_size": 0.2,
+    }
+    return cw.Mixture.from_dict(spec | changes)
+
+
+def test_sizes_after_sampling_filter_and_split(spark, root):
+    plan = cw.plan_mixture(spark, mixture(), root)
+    assert plan.sampled == {"chats": 90}
+    rows = plan.frame.collect()
+    chats = [r for r in rows if r._member == "chats"]
+    # The empty conversations among the 90 sampled ones are dropped afterwards.
+    assert 50 < len(chats) < 90 and all(r.messages for r in rows)
+    assert sum(r._member == "docs" for r in rows) == 90
+    assert plan.total == len(rows)
+    assert sum(r.split == "test" for r in rows) == plan.test_rows == -(-len(rows) // 5)
+    assert len({(r._member, r._row_key) for r in rows}) == len(rows)
+    counts = {(r.member, r.split): r.rows for r in plan.counts().collect()}
+    assert sum(counts.values()) == len(rows)
+
+
+def test_the_cut_does_not_depend_on_how_it_is_found(spark, root):
+    def picked(**kwargs):
+        frame = cw.plan_mixture(spark, mixture(), root, **kwargs).frame
+        return {(r._member, r._row_key, r.split) for r in frame.collect()}
+
+    assert picked() == picked(fetch_rows=2)
+
+
+def test_without_split_size_everything_is_train(spark, root):
+    splits = cw.build_mixture(spark, mixture(test_split_size=None), root)
+    assert list(splits) == ["train"]
+
+
+def test_counting_passes_read_no_texts(spark, root):
+    """Row-local plan: the count of a split needs roles and keys, not contents."""
+    plan = cw.plan_mixture(
+        spark,
+        cw.Mixture([cw.Member("chats", "default", split="train_sft", weight=0.5, key=["id"])],
+                   test_split_size=0.1),
+        root,
+    )
+    text = plan_text(plan.frame.select("split"))
+    assert "Exchange" not in text
+    assert "ReadSchema: struct<id:bigint,messages:array<struct<role:string>>>" in text
+
+
+def test_python_member_runs_once_and_matches_expression(spark, root):
+    def to_messages(row):
+        return {"messages": [{"role": "user", "content": row["content"]}]}
+
+    def build(transform):
+        docs = mixture().datasets[1]
+        member = cw.Member(
+            docs.id, data_dir="sub", format="json", weight=0.4, key=["doc"], transform=transform,
+            rename_columns={"text": "content"}, final_columns=["messages"],
+        )
+        plan = cw.plan_mixture(spark, cw.Mixture([member], test_split_size=0.3), root)
+        return plan.frame
+
+    schema = "messages array<struct<role:string,content:string>>"
+    python, sql = build(cw.per_row(to_messages, schema)), build(ONE)
+    rows = lambda df: {(r._row_key, r.split, r.messages[0].content) for r in df.collect()}
+    assert rows(python) == rows(sql)
+    assert "MapInPandas" not in plan_text(python)  # read back from the checkpoint
+
+
+def test_member_left_empty_goes_through(spark, root):
+    spec = mixture(test_split_size=None)
+    tiny = cw.Member("chats", "default", split="train_sft", weight=0.001, key=["id"])
+    plan = cw.plan_mixture(spark, cw.Mixture([tiny, spec.datasets[1]]), root)
+    assert plan.sampled == {"chats": 0}
+    assert {r._member for r in plan.frame.collect()} == {"docs"}
+
+
+def test_reserved_and_missing_names(spark, root):
+    df = spark.range(3).withColumn("_member", F.lit("x"))
+    one = cw.Mixture([cw.Member("a", key=["id"])])
+    with pytest.raises(ValueError, match="reserved"):
+        cw.plan_mixture(spark, one, tables={"a": df})
+    with pytest.raises(ValueError, match="no root"):
+        cw.plan_mixture(spark, one)
+
+
+def test_entry_choice(spark, root):
+    assert set(cw.load_training_data(spark, root=root, dataset_name="chats", dataset_config="default")) == {
+        "train_sft", "test_sft",
+    }
+    both = cw.load_training_data(spark, root=root, dataset_name="chats", mixture=mixture())
+    assert set(both) == {"train", "test"}
+    with pytest.raises(ValueError):
+        cw.load_training_data(spark, root=root)
+
+
+# --- sinks -----------------------------------------------------------------
+
+
+def test_written_splits_are_complete_and_in_order(spark, root, tmp_path):
+    plan = cw.plan_mixture(spark, mixture(), root)
+    path = str(tmp_path / "out")
+    plan.write(path, files=5)
+    back = spark.read.parquet(path)
+    want = {(r._member, r._row_key, r.split) for r in plan.frame.collect()}
+    assert {(r._member, r._row_key, r.split) for r in back.collect()} == want
+    for split in ("train", "test"):
+        files = sorted((tmp_path / "out" / f"split={split}").glob("*.parquet"))
+        assert len(files) == {"train": 4, "test": 1}[split]
+        keys = [r._order_key for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert keys == sorted(keys)
+    with pytest.raises(Exception, match="already exists"):
+        plan.write(path)
+
+
+def test_split_counts_and_metrics(spark, tmp_path):
+    splits = {"train": spark.range(8), "test": spark.range(0)}
+    counts = cw.split_counts(splits)
+    assert {r.split: r.rows for r in counts.collect()} == {"train": 8, "test": 0}
+    path = str(tmp_path / "metrics")
+    assert cw.write_metrics(counts, path) == {"train_samples": 8, "eval_samples": 0}
+    assert spark.read.json(path).first().asDict() == {"train_samples": 8, "eval_samples": 0}
+    cw.write_splits(splits, str(tmp_path / "plain"))
+    assert spark.read.parquet(str(tmp_path / "plain")).count() == 8
