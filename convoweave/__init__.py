@@ -2,7 +2,12 @@
 
 from .functions.chat import assistant_spans, invalid_messages, render_chat
 from .functions.tokens import token_count, token_counter, tokenize, truncate_tokens
-from .operators.conversations import assemble_messages, turn_spans
+from .operators.conversations import (
+    assemble_messages,
+    render_turns,
+    split_invalid_turns,
+    turn_spans,
+)
 from .operators.copies import with_content_key
 from .operators.exact_cut import exact_sample, train_test_split
 from .operators.packing import pack, pack_blocks, pack_segments
@@ -50,10 +55,12 @@ __all__ = [
     "rename_sequential",
     "render_chat",
     "render_pairs",
+    "render_turns",
     "run_status",
     "select_columns",
     "sft_text",
     "split_counts",
+    "split_invalid_turns",
     "task_columns",
     "token_count",
     "token_counter",

@@ -31,32 +31,38 @@ def invalid_messages(messages: Column) -> Column:
     )
 
 
-def render_chat(messages: Column, eos: str, add_generation_prompt: bool = False) -> Column:
-    """Training text of a conversation; NULL if it is NULL or invalid.
+def render_piece(role: Column, content: Column, is_last: Column, eos: str) -> Column:
+    """What one message adds to the training text.
 
-    Every message ends in a newline, except that an assistant message which is
-    the last one ends at its end-of-sequence token. Other roles print nothing
-    but do count as last.
+    It ends in a newline, except that an assistant message which is the last
+    one ends at its end-of-sequence token. Other roles print nothing.
     """
-
-    def piece(message: Column, index: Column) -> Column:
-        role, content = message["role"], message["content"]
-        is_last = index == F.size(messages) - 1
-        return (
-            F.when(role == "system", F.concat(F.lit(f"{SYSTEM}\n"), content, F.lit("\n")))
-            .when(role == "user", F.concat(F.lit(f"{USER}\n"), content, F.lit("\n")))
-            .when(
-                role == "assistant",
-                F.concat(
-                    F.lit(f"{ASSISTANT}\n"),
-                    content,
-                    F.when(is_last, F.lit(eos)).otherwise(F.lit(f"{eos}\n")),
-                ),
-            )
-            .otherwise(F.lit(""))
+    newline = F.lit("\n")
+    return (
+        F.when(role == "system", F.concat(F.lit(f"{SYSTEM}\n"), content, newline))
+        .when(role == "user", F.concat(F.lit(f"{USER}\n"), content, newline))
+        .when(
+            role == "assistant",
+            F.concat(
+                F.lit(f"{ASSISTANT}\n"),
+                content,
+                F.when(is_last, F.lit(eos)).otherwise(F.lit(f"{eos}\n")),
+            ),
         )
+        .otherwise(F.lit(""))
+    )
 
-    text = F.array_join(F.transform(messages, piece), "")
+
+def render_chat(messages: Column, eos: str, add_generation_prompt: bool = False) -> Column:
+    """Training text of a conversation; NULL if it is NULL or invalid.
+
+    Messages of other roles print nothing but do count as last.
+    """
+    pieces = F.transform(
+        messages,
+        lambda m, i: render_piece(m["role"], m["content"], i == F.size(messages) - 1, eos),
+    )
+    text = F.array_join(pieces, "")
     if add_generation_prompt:
         prompt = F.when(F.size(messages) > 0, F.lit(f"{ASSISTANT}\n")).otherwise(F.lit(""))
         text = F.concat(text, prompt)

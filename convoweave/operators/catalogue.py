@@ -12,6 +12,11 @@ from ..functions.status import (
     is_publishable,
     is_resubmittable,
 )
+from .skew import salted_join
+
+# Tasks that share the runs of one repository id, and the files of one run.
+_RUN_SALTS = 16
+_FILE_SALTS = 64
 
 _CHECKPOINT = r"^checkpoint-([0-9]+)\z"
 
@@ -67,30 +72,27 @@ def attach_hub_ids(runs: DataFrame, configs: DataFrame) -> DataFrame:
 def attach_published(runs: DataFrame, published: DataFrame, *, out: str = "published") -> DataFrame:
     """Whether the run's id is among ``published(repo_id)``: true, false, or NULL without id.
 
-    Runs without an id could be a third of the table and would all meet in one
-    task; a stand-in key of their own, which no repository has, spreads them.
+    Many runs may share an id or have none, hence the salts.
     """
-    known = published.select(F.col("repo_id").alias("_repo")).distinct().withColumn(
-        "_known", F.lit(True)
-    )
-    stand_in = F.concat(F.lit("\x00"), F.col("path"))
-    return (
-        runs.withColumn("_repo", F.coalesce("hub_model_id", stand_in))
-        .join(known, "_repo", "left")
-        .withColumn(
-            out, F.when(F.col("hub_model_id").isNotNull(), F.col("_known").isNotNull())
-        )
-        .drop("_repo", "_known")
+    known = published.select(F.col("repo_id").alias("hub_model_id")).distinct()
+    looked_up = salted_join(
+        runs,
+        known.withColumn("_known", F.lit(True)),
+        ["hub_model_id"],
+        "left",
+        spread_by=F.col("path"),
+        salts=_RUN_SALTS,
     )
+    return looked_up.withColumn(
+        out, F.when(F.col("hub_model_id").isNotNull(), F.col("_known").isNotNull())
+    ).drop("_known")
 
 
 def exclude_published(runs: DataFrame, published: DataFrame) -> DataFrame:
     """Drop runs known to be published; runs without an id stay."""
-    stand_in = F.concat(F.lit("\x00"), F.col("path"))
-    return (
-        runs.withColumn("_repo", F.coalesce("hub_model_id", stand_in))
-        .join(published.select(F.col("repo_id").alias("_repo")), "_repo", "left_anti")
-        .drop("_repo")
+    known = published.select(F.col("repo_id").alias("hub_model_id")).distinct()
+    return salted_join(
+        runs, known, ["hub_model_id"], "left_anti", spread_by=F.col("path"), salts=_RUN_SALTS
     )
 
 
@@ -149,11 +151,12 @@ def artifact_manifest(entries: DataFrame, *, results_root: str = "results") -> D
 def upload_manifest(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """``(repo_id, src, dst)`` for the files of publishable runs, minus the ignored ones.
 
-    Runs are unique here; a run with very many files is split by adaptive
-    skew handling, which this join shape allows.
+    One run may own a large share of the files; its rows are dealt to many tasks.
     """
     files = entries.where(
         ~F.col("is_dir") & F.col("rest").isNotNull() & ~is_ignored_upload(F.col("rest"))
     ).select("kind", "run", F.col("path").alias("src"), F.col("rest").alias("dst"))
     targets = publishable(runs).select("kind", "run", F.col("hub_model_id").alias("repo_id"))
-    return files.join(targets, ["kind", "run"]).select("repo_id", "src", "dst")
+    return salted_join(
+        files, targets, ["kind", "run"], "inner", spread_by=F.col("src"), salts=_FILE_SALTS
+    ).select("repo_id", "src", "dst")

@@ -188,12 +188,13 @@ def _fetch(keys: Mapping[str, DataFrame], intervals: Mapping[str, _Interval]) ->
 
 
 def _between(frame: DataFrame, low: int, high: int) -> DataFrame:
+    """Rows in ``[low, high)``; the rarer condition goes first, since each one
+    computes the digest again."""
     digest = F.col(_DIGEST)
-    if low > 0:
-        frame = frame.where(digest >= position_prefix(low))
-    if position_prefix(high) is not None:
-        frame = frame.where(digest < position_prefix(high))
-    return frame
+    above = [digest >= position_prefix(low)] if low > 0 else []
+    below = [digest < position_prefix(high)] if high < POSITIONS else []
+    conditions = below + above if high < POSITIONS - low else above + below
+    return frame.where(reduce(Column.__and__, conditions)) if conditions else frame
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:

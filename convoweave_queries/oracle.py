@@ -231,11 +231,19 @@ ORACLE: dict[str, str] = {
                  AS span_no,
                span_start, span_end
         FROM spans""",
+    "render_turns": f"""
+        WITH {RENDERED}, {SPANS}
+        SELECT p.conv_id, p.turn, p.piece, CAST(piece_start AS BIGINT) AS piece_start
+        FROM pieces p JOIN placed s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
     "turn_spans": f"WITH {RENDERED}, {SPANS} SELECT conv_id, turn, span_start, span_end FROM spans",
     "scan_dataset": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "scan_splits": "SELECT lang AS split, doc_id FROM documents",
     "scan_member_split": """
         SELECT doc_id, text, source, n_chars FROM documents WHERE lang = 'fr'""",
     "select_rename": "SELECT doc_id, text AS body FROM documents",
+    "sft_columns": """
+        SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages FROM conversations
+        GROUP BY conv_id HAVING arg_max(role, turn) = 'assistant'""",
     "preference_columns": """
         SELECT conv_id, CAST(count(*) AS INTEGER) AS chosen_messages,
                CAST(count(*) AS INTEGER) AS rejected_messages
@@ -253,6 +261,8 @@ ORACLE: dict[str, str] = {
     "transform_batches": """
         SELECT doc_id, lang, source, n_chars + 1 AS n_chars, lang || ':' || source AS labelled
         FROM documents""",
+    "transform_rows": """
+        SELECT doc_id, '<|user|>' || chr(10) || text || chr(10) AS text FROM documents""",
     "sample_by_weight": """
         SELECT doc_id, lang, n_chars FROM (
           SELECT *, row_number() OVER (
@@ -285,11 +295,35 @@ ORACLE: dict[str, str] = {
                     THEN 'test' ELSE 'train' END AS split
         FROM documents""",
     "mixture": f"WITH {MIXTURE} SELECT member, row_key, order_key, split, text FROM mixture",
+    "mixture_without_keys": """
+        SELECT member, row_key,
+               md5('42:shuffle:' || member || ':' || row_key) AS order_key, n_chars
+        FROM (
+          SELECT *, row_number() OVER (
+                   PARTITION BY member
+                   ORDER BY md5('42:sample:' || member || ':' || row_key), row_key) AS place,
+                 count(*) OVER (PARTITION BY member) AS n
+          FROM (
+            SELECT member, CAST(length(text) AS INTEGER) AS n_chars, weight,
+                   md5(text) || ':' || row_number() OVER (PARTITION BY member, text) AS row_key
+            FROM (
+              SELECT 'documents.parquet' AS member, text, CAST(0.5 AS DOUBLE) AS weight
+              FROM documents
+              UNION ALL SELECT 'benchmark.parquet', text, 1.0 FROM benchmark
+              UNION ALL SELECT 'conversations.parquet', text, 1.0 FROM conversations
+            )
+          )
+        )
+        WHERE place <= floor(n * weight)""",
     "mixture_counts": f"""
         WITH {MIXTURE} SELECT member, split, count(*) AS rows FROM mixture
         GROUP BY member, split""",
     "split_counts": f"""
         WITH {MIXTURE} SELECT split, count(*) AS rows FROM mixture GROUP BY split""",
+    "split_metrics": f"""
+        WITH {MIXTURE}
+        SELECT count(*) FILTER (WHERE split = 'train') AS train_samples,
+               count(*) FILTER (WHERE split = 'test') AS eval_samples FROM mixture""",
     "write_splits": f"WITH {MIXTURE} SELECT member, row_key, order_key, split FROM mixture",
     "token_counts": f"""
         SELECT doc_id, CAST(len(regexp_extract_all(text, {TOKENS})) AS INTEGER) AS n_tokens
@@ -303,6 +337,14 @@ ORACLE: dict[str, str] = {
                array_to_string(tokens[1:4096], ' ') AS kept
         FROM (SELECT doc_id, regexp_extract_all(text, {TOKENS}) AS tokens FROM documents)""",
     "pack_in_key_order": _pack("documents", "n_chars", "doc_id % 8", "doc_id"),
+    "pack_segments": f"""
+        SELECT doc_id, shard, block, CAST(greatest(start - block * 4096, 0) AS INTEGER) AS "offset",
+               CAST(greatest(block * 4096 - start, 0) AS INTEGER) AS from_char,
+               CAST(least((block + 1) * 4096 - start, n_chars) AS INTEGER) AS to_char
+        FROM (SELECT doc_id, shard, start, n_chars,
+                     unnest(range(block, (start + n_chars - 1) // 4096 + 1)) AS block
+              FROM ({_pack("documents", "n_chars", "doc_id % 8", "doc_id")})
+              WHERE n_chars > 0)""",
     "pack_in_hash_order": _pack(
         f"""(SELECT doc_id, CAST(len(regexp_extract_all(text, {TOKENS})) AS INTEGER) AS n_tokens
              FROM documents)""",

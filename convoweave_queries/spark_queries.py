@@ -77,6 +77,13 @@ def assistant_spans(spark, sf_dir):
     )
 
 
+@query
+def render_turns(spark, sf_dir):
+    return cw.render_turns(inputs.turns(spark, sf_dir), eos=EOS, key="conv_id").select(
+        "conv_id", "turn", "piece", F.col("start").alias("piece_start")
+    )
+
+
 @query
 def turn_spans(spark, sf_dir):
     return cw.turn_spans(inputs.turns(spark, sf_dir), eos=EOS, key="conv_id").select(
@@ -92,6 +99,13 @@ def scan_dataset(spark, sf_dir):
     return cw.load_dataset(spark, "documents.parquet", root=sf_dir)["train"]
 
 
+@query
+def scan_splits(spark, sf_dir):
+    splits = cw.load_dataset(spark, "documents.parquet", root=sf_dir, split_column="lang")
+    frames = [df.select(F.lit(name).alias("split"), "doc_id") for name, df in splits.items()]
+    return cw.concat_members(frames)
+
+
 @query
 def scan_member_split(spark, sf_dir):
     member = cw.Member("documents.parquet", split="fr", split_column="lang")
@@ -109,6 +123,14 @@ def select_rename(spark, sf_dir):
     return stream_member(cw.load_member(spark, member, sf_dir), member)
 
 
+@query
+def sft_columns(spark, sf_dir):
+    pairs = inputs.preference_pairs(spark, sf_dir)
+    return cw.task_columns(pairs, "sft", ("conv_id",)).select(
+        "conv_id", F.size("messages").alias("n_messages")
+    )
+
+
 @query
 def preference_columns(spark, sf_dir):
     pairs = cw.drop_messages({"train": inputs.preference_pairs(spark, sf_dir)})["train"]
@@ -157,6 +179,18 @@ def transform_batches(spark, sf_dir):
     return cw.apply_transform(docs, cw.BatchTransform(longer, "n_chars bigint, labelled string"))
 
 
+@query
+def transform_rows(spark, sf_dir):
+    def to_messages(row):
+        return {"messages": [{"role": "user", "content": row["text"]}]}
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = "messages array<struct<role:string,content:string>>"
+    return cw.apply_transform(docs, cw.per_row(to_messages, schema)).select(
+        "doc_id", cw.render_chat(F.col("messages"), EOS).alias("text")
+    )
+
+
 # --- exact sampling, order, split ------------------------------------------
 
 
@@ -252,6 +286,29 @@ def mixture(spark, sf_dir):
     )
 
 
+@query
+def mixture_without_keys(spark, sf_dir):
+    """Members without key columns and without weight; no test split."""
+    keyless = {"columns": ["text"]}
+    mixture = cw.Mixture.from_dict(
+        {
+            "datasets": [
+                {"id": "documents.parquet", "weight": 0.5, **keyless},
+                {"id": "benchmark.parquet", **keyless},
+                {"id": "conversations.parquet", "weight": None, **keyless},
+            ],
+            "seed": SEED,
+        }
+    )
+    frame = cw.build_mixture(spark, mixture, sf_dir)["train"]
+    return frame.select(
+        F.col("_member").alias("member"),
+        F.col("_row_key").alias("row_key"),
+        F.col("_order_key").alias("order_key"),
+        F.length("text").alias("n_chars"),
+    )
+
+
 @query
 def mixture_counts(spark, sf_dir):
     return _mixture_plan(spark, sf_dir).counts()
@@ -275,6 +332,14 @@ def write_splits(spark, sf_dir):
     )
 
 
+@query
+def split_metrics(spark, sf_dir):
+    """``train_samples`` and ``eval_samples`` as written, read back."""
+    path = scratch_path(spark, "metrics")
+    cw.write_metrics(cw.split_counts(_mixture_plan(spark, sf_dir).frame), path)
+    return spark.read.schema("train_samples bigint, eval_samples bigint").json(path)
+
+
 # --- tokens ----------------------------------------------------------------
 
 
@@ -310,6 +375,15 @@ def pack_in_key_order(spark, sf_dir):
     )
 
 
+@query
+def pack_segments(spark, sf_dir):
+    placed = pack_in_key_order(spark, sf_dir)
+    return cw.pack_segments(placed, "n_chars", block=4096).select(
+        "doc_id", "shard", "block", "offset",
+        F.col("from").alias("from_char"), F.col("to").alias("to_char"),
+    )
+
+
 @query
 def pack_in_hash_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import convoweave as cw
 from convoweave.functions.status import hub_id
 from convoweave.operators import catalogue
+from convoweave.operators.skew import salted_join
 from convoweave.sources.listing import run_entries
 
 DIRS = [
@@ -157,3 +158,15 @@ def test_a_run_with_very_many_files_sends_few_rows(spark, configs):
     )
     row = catalogue.summarise_runs(run_entries(many)).first()
     assert row.latest_checkpoint_step == 19_999
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_is_the_plain_join(spark, how):
+    left = spark.range(500).select(
+        "id", F.when(F.col("id") % 7 > 0, F.least(F.col("id") % 40, F.lit(9))).alias("k")
+    )
+    right = spark.createDataFrame([(9, "x"), (3, "y"), (77, "z"), (None, "n")], "k long, v string")
+    salted = salted_join(left, right, ["k"], how, spread_by=F.col("id"), salts=5)
+    plain = left.join(right, ["k"], how)
+    assert salted.columns == plain.columns
+    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))

@@ -105,6 +105,19 @@ def test_turn_spans_equal_array_spans_in_any_stretch(spark, chats, turn_bits):
     assert {(r.id, r.start, r.end) for r in found} == expected
 
 
+@pytest.mark.parametrize("turn_bits", [0, 1, 12])
+def test_rendered_turns_join_to_the_text(chats, turn_bits):
+    turns = chats(*CASES).select("id", F.posexplode("messages").alias("turn", "m")).select(
+        "id", "turn", "m.role", "m.content"
+    )
+    texts = {}
+    rows = cw.render_turns(turns, eos=EOS, key="id", turn_bits=turn_bits)
+    for row in rows.orderBy("id", "turn").collect():
+        assert row.start == len(texts.get(row.id, ""))
+        texts[row.id] = texts.get(row.id, "") + row.piece
+    assert texts == {i: plain_render(case)[0] for i, case in enumerate(CASES) if case}
+
+
 def test_null_conversation_and_missing_content(chats):
     df = chats(
         None,
@@ -152,3 +165,13 @@ def test_marker_lengths_are_those_of_the_text():
     assert {chat.ROLE_MARKERS[r] for r in ("system", "user", "assistant")} == {
         "<|system|>", "<|user|>", "<|assistant|>",
     }
+
+
+def test_invalid_turns_take_their_conversation_along(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "tool", None), (2, 1, "user", "b"),
+            (3, 0, None, None)]
+    turns = spark.createDataFrame(rows, "k int, turn int, role string, content string")
+    valid, rejects = cw.split_invalid_turns(turns, key="k")
+    assert valid.columns == rejects.columns == ["k", "turn", "role", "content"]
+    assert sorted((r.k, r.turn) for r in valid.collect()) == [(2, 0), (2, 1), (3, 0)]
+    assert sorted((r.k, r.turn) for r in rejects.collect()) == [(1, 0), (1, 1)]
