@@ -27,37 +27,35 @@ def run_entries(
     below = f"{results_root.rstrip('/')}/"
     path = F.col("path")
     in_results = F.startswith(path, F.lit(below))
+    wanted = in_results
     parts = F.split(F.substring(path, len(below) + 1, 1 << 30), "/", 3)
-    inside = F.struct(
-        F.get(parts, F.lit(0)).alias("kind"),
-        F.get(parts, F.lit(1)).alias("run"),
-        F.get(parts, F.lit(2)).alias("rest"),
-        F.lit(False).alias("is_override"),
-    )
-    wanted, entry = in_results, inside
     if scripts_root is not None:
         scripts = f"{scripts_root.rstrip('/')}/"
-        script = F.struct(
-            F.lit(script_kind).alias("kind"),
-            F.regexp_extract(
-                F.substring(path, len(scripts) + 1, 1 << 30), r"^([^/]*)\.sh\z", 1
-            ).alias("run"),
-            F.lit(None).cast("string").alias("rest"),
-            F.lit(True).alias("is_override"),
+        name = F.regexp_extract(
+            F.substring(path, len(scripts) + 1, 1 << 30), r"^([^/]*)\.sh\z", 1
         )
         wanted = in_results | F.startswith(path, F.lit(scripts))
-        entry = F.when(in_results, inside).otherwise(script)
+        parts = F.when(in_results, parts).otherwise(F.array(F.lit(script_kind), name))
     # Unpacked through a generator, the path is taken apart once per row; as a
     # plain projection every later filter would repeat it.
-    found = listing.where(wanted).select("path", "is_dir", F.inline(F.array(entry)))
-    return found.where(
+    found = listing.where(wanted).select(
+        "path", "is_dir", F.explode(F.array(parts)).alias("_parts")
+    )
+    return found.select(
+        F.get("_parts", F.lit(0)).alias("kind"),
+        F.get("_parts", F.lit(1)).alias("run"),
+        F.get("_parts", F.lit(2)).alias("rest"),
+        "path",
+        "is_dir",
+        (~in_results).alias("is_override"),
+    ).where(
         F.col("kind").isin(*KINDS)
         & (F.col("run") != "")
         & ~F.startswith("run", F.lit("."))
         & F.when(F.col("is_override"), ~F.col("is_dir")).otherwise(
             F.col("rest").isNotNull() | F.col("is_dir")
         )
-    ).select("kind", "run", "rest", "path", "is_dir", "is_override")
+    )
 
 
 def run_configs(configs: DataFrame) -> DataFrame:
