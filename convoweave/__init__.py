@@ -25,13 +25,14 @@ from .plans.training_text import packed_text, preference_text, render_pairs, sft
 from .sources.contracts import check_contract, task_columns
 from .sources.sinks import split_counts, write_metrics, write_splits
 from .sources.tables import load_dataset, load_member
-from .spec import BatchTransform, Member, Mixture, per_row
+from .spec import BatchTransform, Member, Mixture, RowTransform
 
 __all__ = [
     "BatchTransform",
     "Member",
     "Mixture",
     "MixturePlan",
+    "RowTransform",
     "apply_transform",
     "assemble_messages",
     "assistant_spans",
@@ -49,7 +50,6 @@ __all__ = [
     "pack_blocks",
     "pack_segments",
     "packed_text",
-    "per_row",
     "plan_mixture",
     "preference_text",
     "rename_sequential",

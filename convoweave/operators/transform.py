@@ -1,4 +1,4 @@
-"""Per-sample transforms: SQL expressions, or a Python callable over batches."""
+"""Per-sample transforms: SQL expressions, or Python over Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..spec import BatchTransform, Transform
+from ..spec import BatchTransform, RowTransform, Transform
 
 
 def apply_transform(df: DataFrame, transform: Transform) -> DataFrame:
@@ -18,23 +18,16 @@ def apply_transform(df: DataFrame, transform: Transform) -> DataFrame:
     """
     if isinstance(transform, BatchTransform):
         return _map_batches(df, transform)
+    if isinstance(transform, RowTransform):
+        return _map_rows(df, transform)
     if isinstance(transform, Mapping) and transform:
         return df.withColumns({name: F.expr(sql) for name, sql in transform.items()})
-    raise ValueError("no transform found: give SQL expressions or a BatchTransform")
+    raise ValueError("no transform found: give SQL expressions, a BatchTransform or a RowTransform")
 
 
 def _map_batches(df: DataFrame, transform: BatchTransform) -> DataFrame:
-    declared = (
-        transform.schema
-        if isinstance(transform.schema, StructType)
-        else StructType.fromDDL(transform.schema)
-    )
-    added = {f.name: f for f in declared.fields}
-    result = StructType(
-        [added.get(f.name, f) for f in df.schema.fields]
-        + [f for f in declared.fields if f.name not in df.columns]
-    )
-    fn, names, new_names = transform.fn, result.fieldNames(), list(added)
+    result, declared = _result_schema(df, transform.schema)
+    fn, names = transform.fn, result.fieldNames()
 
     def run(batches):
         for batch in batches:
@@ -45,8 +38,40 @@ def _map_batches(df: DataFrame, transform: BatchTransform) -> DataFrame:
                 raise ValueError(
                     f"a transform maps each row to one row: {len(batch)} in, {len(out)} out"
                 )
-            for name in new_names:
+            for name in declared:
                 batch[name] = out[name].to_numpy() if name in out else None
             yield batch[names]
 
     return df.mapInPandas(run, result)
+
+
+def _map_rows(df: DataFrame, transform: RowTransform) -> DataFrame:
+    result, declared = _result_schema(df, transform.schema)
+    fn, known = transform.fn, set(declared)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(result)
+        for batch in batches:
+            rows = []
+            for sample in batch.to_pylist():
+                changed = fn(dict(sample))
+                if not known.issuperset(changed):
+                    raise ValueError(
+                        f"a transform returned undeclared columns {sorted(set(changed) - known)}"
+                    )
+                rows.append(sample | changed)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return df.mapInArrow(run, result)
+
+
+def _result_schema(df: DataFrame, schema: str | StructType) -> tuple[StructType, list[str]]:
+    """Input columns in their order, replaced where declared anew, then the added ones."""
+    declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    anew = {field.name: field for field in declared.fields}
+    added = [field for field in declared.fields if field.name not in df.columns]
+    kept = [anew.get(field.name, field) for field in df.schema.fields]
+    return StructType([*kept, *added]), declared.fieldNames()

@@ -19,7 +19,7 @@ from ..operators.projection import concat_members
 from ..sources.scratch import cut_lineage
 from ..sources.sinks import write_marked
 from ..sources.tables import load_dataset, load_member, select_split
-from ..spec import BatchTransform, Member, Mixture
+from ..spec import BatchTransform, Member, Mixture, RowTransform
 
 logger = logging.getLogger(__name__)
 
@@ -94,7 +94,8 @@ def plan_mixture(
             key = F.col(KEY)
             df = df.where(cuts[name].keeps(stage_digest(mixture.seed, "sample", name, key), key))
         df = reshape(df, member, also=[KEY])
-        if isinstance(member.transform, BatchTransform) and mixture.test_split_size is not None:
+        in_python = isinstance(member.transform, (BatchTransform, RowTransform))
+        if in_python and mixture.test_split_size is not None:
             # Splitting counts the rows that come out of the Python code; run that once.
             df = cut_lineage(df)
         frames.append(df.withColumn(MEMBER, F.lit(name)))

@@ -22,22 +22,19 @@ class BatchTransform:
     schema: str | StructType
 
 
-def per_row(fn: Callable[[dict], dict], schema: str | StructType) -> BatchTransform:
-    """Adapt a ``dict -> dict`` callback to a batch transform."""
-
-    def run(batch):
-        import pandas as pd
+@dataclass(frozen=True)
+class RowTransform:
+    """Python callback ``dict -> dict`` with a declared result.
 
-        done = [fn(row) for row in batch.to_dict("records")]
-        names = list(dict.fromkeys(name for row in done for name in row))
-        return pd.DataFrame(
-            {name: [row.get(name) for row in done] for name in names}, index=batch.index
-        )
+    The returned keys replace or extend the sample and must be named in
+    ``schema``. Values are plain Python: lists, dicts, None.
+    """
 
-    return BatchTransform(run, schema)
+    fn: Callable[[dict], dict]
+    schema: str | StructType
 
 
-Transform = Mapping[str, str] | BatchTransform
+Transform = Mapping[str, str] | BatchTransform | RowTransform
 
 
 @dataclass(frozen=True)
@@ -72,11 +69,11 @@ class Member:
         if self.weight is not None:
             check_fraction(self.weight, "weight", upper_closed=True)
         if self.transform is not None and not isinstance(
-            self.transform, (Mapping, BatchTransform)
+            self.transform, (Mapping, BatchTransform, RowTransform)
         ):
             raise ValueError(
                 f"member {self.id!r}: no transform found; give SQL expressions by "
-                "column or a BatchTransform"
+                "column, a BatchTransform or a RowTransform"
             )
         if "[" in self.split:
             raise ValueError(f"split slices are not supported: {self.split!r}")
@@ -90,7 +87,7 @@ class Member:
         if spec.get("transform_code") is not None:
             raise ValueError(
                 "transform source text is not executed; give `transform` as SQL "
-                "expressions by column or as a BatchTransform"
+                "expressions by column, a BatchTransform or a RowTransform"
             )
         optional = (
             "config", "data_dir", "columns", "rename_columns", "final_columns",

@@ -186,7 +186,7 @@ def transform_rows(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     schema = "messages array<struct<role:string,content:string>>"
-    return cw.apply_transform(docs, cw.per_row(to_messages, schema)).select(
+    return cw.apply_transform(docs, cw.RowTransform(to_messages, schema)).select(
         "doc_id", cw.render_chat(F.col("messages"), EOS).alias("text")
     )
 
@@ -352,9 +352,10 @@ def token_counts(spark, sf_dir):
 
 @query
 def chat_token_counts(spark, sf_dir):
-    text = cw.render_chat(F.col("messages"), EOS)
-    return inputs.conversations(spark, sf_dir).select(
-        "conv_id", cw.token_count(text, EOS).alias("n_tokens")
+    """Summed over turns: no token reaches across two pieces, so nothing is gathered."""
+    pieces = cw.render_turns(inputs.turns(spark, sf_dir), eos=EOS, key="conv_id")
+    return pieces.groupBy("conv_id").agg(
+        F.sum(cw.token_count(F.col("piece"), EOS)).cast("int").alias("n_tokens")
     )
 
 

@@ -170,3 +170,25 @@ def test_salted_join_is_the_plain_join(spark, how):
     plain = left.join(right, ["k"], how)
     assert salted.columns == plain.columns
     assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_a_hot_run_and_a_hot_id_lose_nothing(spark):
+    files = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("results/sft/hot/f"), F.col("id")))
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("results/sft/r"), F.col("id"), F.lit("/train_results.json")))
+        .otherwise(F.concat(F.lit("results/sft/r"), F.col("id"), F.lit("/x")))
+        .alias("path"),
+        F.lit(False).alias("is_dir"),
+    ).union(spark.createDataFrame([("results/sft/hot/train_results.json", False)], "path string, is_dir boolean"))
+    runs = spark.range(3000).where("id % 3 = 1").select(
+        F.concat(F.lit("results/sft/r"), F.col("id")).alias("run"),
+        F.lit('{"hub_model_id": "org/shared"}').alias("config_json"),
+    ).union(spark.createDataFrame([("results/sft/hot", '{"hub_model_id": "org/hot"}')], "run string, config_json string"))
+    known = spark.createDataFrame([("org/shared",)], "repo_id string")
+    status = cw.run_status(files, runs, known)
+    assert status.where("published").count() == 1000
+    assert status.where("published IS NULL").count() == 1000
+    manifest = catalogue.upload_manifest(run_entries(files), status)
+    assert manifest.where("repo_id = 'org/hot'").count() == 1001
+    assert manifest.count() == 2001
+    assert catalogue.exclude_published(status, known).count() == 1001

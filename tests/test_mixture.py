@@ -185,7 +185,7 @@ def test_python_member_runs_once_and_matches_expression(spark, root):
         return plan.frame
 
     schema = "messages array<struct<role:string,content:string>>"
-    python, sql = build(cw.per_row(to_messages, schema)), build(ONE)
+    python, sql = build(cw.RowTransform(to_messages, schema)), build(ONE)
     rows = lambda df: {(r._row_key, r.split, r.messages[0].content) for r in df.collect()}
     assert rows(python) == rows(sql)
     assert "MapInPandas" not in plan_text(python)  # read back from the checkpoint

@@ -82,20 +82,33 @@ def test_row_callback_builds_conversations(ab):
         return {"messages": [{"role": "user", "content": row["b"]}]}
 
     schema = "messages array<struct<role:string,content:string>>"
-    out = cw.apply_transform(ab, cw.per_row(fn, schema)).orderBy("a").collect()
+    out = cw.apply_transform(ab, cw.RowTransform(fn, schema)).orderBy("a").collect()
     assert [(r.a, r.b, r.messages[0].content) for r in out] == [(1, "x", "x"), (2, "y", "y")]
 
 
 def test_row_callback_sees_nested_values(chats):
     def fn(row):
         messages = row["messages"]
-        return {"n": None if messages is None else len(messages)}
+        return {"n": len(messages) if messages else None}
 
     df = chats([("user", "a"), ("assistant", "b")], None)
-    out = cw.apply_transform(df, cw.per_row(fn, "n int")).orderBy("id").collect()
+    out = cw.apply_transform(df, cw.RowTransform(fn, "n int")).orderBy("id").collect()
     assert [r.n for r in out] == [2, None]
 
 
+def test_row_callback_keeps_nulls_and_types(spark):
+    df = spark.sql("SELECT * FROM VALUES (1L, NULL, date'2024-01-02'), (NULL, 2.5D, NULL) AS t(a, b, d)")
+    seen = cw.RowTransform(lambda row: {"b": row["b"], "t": type(row["a"]).__name__}, "b double, t string")
+    rows = {tuple(r) for r in cw.apply_transform(df, seen).collect()}
+    assert rows == {(r.a, r.b, r.d, "int" if r.a else "NoneType") for r in df.collect()}
+
+
+def test_row_callback_with_undeclared_columns(ab):
+    out = cw.apply_transform(ab, cw.RowTransform(lambda row: {"z": 1}, "a int"))
+    with pytest.raises(Exception, match="undeclared columns"):
+        out.collect()
+
+
 def test_batch_transform_must_keep_the_rows(ab):
     out = cw.apply_transform(ab, cw.BatchTransform(lambda b: b.head(0), "a int"))
     with pytest.raises(Exception, match="maps each row to one row"):
