@@ -23,6 +23,7 @@ from .plans.mixture import MixturePlan, build_mixture, load_training_data, plan_
 from .plans.run_catalogue import run_status
 from .plans.training_text import packed_text, preference_text, render_pairs, sft_text
 from .sources.contracts import check_contract, task_columns
+from .sources.listing import scan_configs, scan_tree
 from .sources.sinks import split_counts, write_metrics, write_splits
 from .sources.tables import load_dataset, load_member
 from .spec import BatchTransform, Member, Mixture, RowTransform
@@ -57,6 +58,8 @@ __all__ = [
     "render_pairs",
     "render_turns",
     "run_status",
+    "scan_configs",
+    "scan_tree",
     "select_columns",
     "sft_text",
     "split_counts",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.status import hub_id
@@ -61,3 +64,70 @@ def run_entries(
 def run_configs(configs: DataFrame) -> DataFrame:
     """``(run, hub_model_id)`` from ``(run, config_json)``; ``run`` is the run's path."""
     return configs.select("run", hub_id(F.col("config_json")).alias("hub_model_id"))
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """A listing ``(path, is_dir)`` of the files below ``root``, paths relative to it.
+
+    Directories are those that hold files, as on an object store. Entries that
+    start with ``.`` or ``_`` are not listed. No content is read, but the driver
+    keeps the file names; for very large trees use a storage inventory table.
+    """
+    files = _files(spark, root).select(_below(F.col("path"), root).alias("path"))
+    parts = F.split("path", "/")
+    parents = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/")
+    )
+    folders = (
+        files.where(F.contains("path", F.lit("/"))).select(F.explode(parents).alias("path")).distinct()
+    )
+    return files.withColumn("is_dir", F.lit(False)).unionAll(
+        folders.withColumn("is_dir", F.lit(True))
+    )
+
+
+def scan_configs(spark: SparkSession, root: str, name: str = "config.yaml") -> DataFrame:
+    """``(run, config_json)`` from the config file in each run directory below ``root``.
+
+    YAML files are turned into JSON text; this needs PyYAML on the executors.
+    JSON files are taken as they are.
+    """
+    text = _files(spark, root, name).select(
+        _below(F.col("path"), root).alias("path"), F.col("content").cast("string").alias("text")
+    )
+    run = F.expr(f"substring(path, 1, length(path) - {len(name) + 1})")
+    config = _yaml_to_json(F.col("text")) if name.endswith((".yaml", ".yml")) else F.col("text")
+    return text.select(run.alias("run"), config.alias("config_json"))
+
+
+def _files(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name)
+        .load(root)
+    )
+
+
+def _below(path: Column, root: str) -> Column:
+    """Path relative to ``root``, whether or not it carries a scheme."""
+    plain = re.sub(r"^[a-z0-9+.-]+:/*", "/", root).rstrip("/")
+    return F.regexp_extract(path, rf"\Q{plain}\E/(.*)\z", 1)
+
+
+def _yaml_to_json(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        import json
+
+        import yaml
+
+        def one(text):
+            try:
+                return json.dumps(yaml.safe_load(text), default=str)
+            except (yaml.YAMLError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return convert(text)

@@ -1,14 +1,10 @@
 """Every registered query against its SQL twin, and golden counts."""
 
-import sys
-
 import duckdb
 import pytest
 
-sys.path.insert(0, "/root/repo")
-import __spark_entry__ as entry_module  # noqa: E402
-
-from conftest import plan_text  # noqa: E402
+import __spark_entry__ as entry_module
+from conftest import plan_text
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
