@@ -33,7 +33,7 @@ def with_content_key(
 
     Equal rows are counted, never gathered: a content that makes up a third of
     the table arrives in the shuffle as one partial count per map task. The
-    counted table is cut off (its readers make several passes) and expanded
+    counted table is written once (its readers make several passes) and expanded
     again; heavy contents are first cut into slices spread over the cluster.
     """
     if any(isinstance(f.dataType, MapType) for f in df.schema.fields):

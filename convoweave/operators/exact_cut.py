@@ -220,6 +220,7 @@ def exact_sample(
     """Keep exactly ``k`` (or ``int(n * fraction)``) rows, nested for one seed.
 
     ``key_cols`` must identify a row. Pass ``total`` if the row count is known.
+    The keys are read two or three times: write a costly input to storage first.
     """
     _batch_only(df, "exact_sample")
     if (fraction is None) == (k is None):
@@ -238,27 +239,23 @@ def exact_sample(
     return df.where(cut.keeps(digest, key))
 
 
-def assign_split(
+def split_cut(
     df: DataFrame,
     *,
     test_size: float,
     digest: Column,
     key: Column,
-    total: int | None = None,
-    split_col: str = "split",
     fetch_rows: int = FETCH_ROWS,
-) -> DataFrame:
-    """Add ``split``: the lowest ``ceil(n * test_size)`` digests are ``test``."""
+) -> tuple[Cut, int, int]:
+    """The cut below which ``ceil(n * test_size)`` rows are test; also that number and n."""
     _batch_only(df, "a train/test split")
     check_fraction(test_size, "test_size", upper_closed=False)
-    n = df.count() if total is None else total
+    n = df.count()
     n_test = math.ceil(n * test_size)
     if not 0 < n_test < n:
         raise ValueError(f"test_size {test_size} of {n} rows leaves an empty side")
-    cut = find_cuts(
-        {"": key_frame(df, digest, key)}, {"": n_test}, {"": n}, fetch_rows=fetch_rows
-    )[""]
-    return df.withColumn(split_col, F.when(cut.keeps(digest, key), "test").otherwise("train"))
+    keys = {"": key_frame(df, digest, key)}
+    return find_cuts(keys, {"": n_test}, {"": n}, fetch_rows=fetch_rows)[""], n_test, n
 
 
 def train_test_split(
@@ -273,13 +270,11 @@ def train_test_split(
     """Disjoint, complete train and test frames of exact size."""
     key = row_key(key_cols)
     digest = stage_digest(seed, "split", member, key)
-    marked = assign_split(
-        df, test_size=test_size, digest=digest, key=key, split_col="_split",
-        fetch_rows=fetch_rows,
+    cut, _, _ = split_cut(
+        df, test_size=test_size, digest=digest, key=key, fetch_rows=fetch_rows
     )
-    return {
-        side: marked.where(F.col("_split") == side).drop("_split") for side in ("train", "test")
-    }
+    is_test = cut.keeps(digest, key)
+    return {"train": df.where(~is_test), "test": df.where(is_test)}
 
 
 def _batch_only(df: DataFrame, what: str) -> None:

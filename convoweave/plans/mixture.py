@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import row_key, stage_digest
 from ..operators.copies import with_content_key
-from ..operators.exact_cut import FETCH_ROWS, Cut, assign_split, find_cuts, key_frame
+from ..operators.exact_cut import FETCH_ROWS, Cut, find_cuts, key_frame, split_cut
 from ..operators.member_steps import initial_columns, reshape
 from ..operators.projection import concat_members
 from ..sources.scratch import cut_lineage
@@ -76,12 +75,17 @@ def plan_mixture(
     root: str | None = None,
     *,
     tables: Mapping[str, DataFrame] | None = None,
+    materialise_keys: bool = False,
     fetch_rows: int = FETCH_ROWS,
 ) -> MixturePlan:
     """Plan a mixture over tables below ``root`` (or given by member id in ``tables``).
 
     Small counting jobs run here, over key columns and for all members
     together; the returned frame is lazy and free of shuffles of its own.
+
+    A test split counts the rows that are left after the transforms, two or
+    three times. ``materialise_keys`` writes their keys to shared storage first,
+    which pays if ``messages`` come out of costly expressions.
     """
     members = {member.label: member for member in mixture.datasets}
     loaded = {name: _load(spark, m, root, tables or {}) for name, m in members.items()}
@@ -108,18 +112,19 @@ def plan_mixture(
     if mixture.test_split_size is None:
         return MixturePlan(united.withColumn(_SPLIT, F.lit("train")), ("train",), sampled)
 
-    total = united.count()
     # Member and key together identify a row here, and the digest is over both.
     identity = F.concat(F.col(MEMBER), F.lit(":"), F.col(KEY))
-    marked = assign_split(
-        united,
+    digest = F.md5(F.concat(F.lit(f"{mixture.seed}:split:"), identity))
+    keys = united.select(MEMBER, KEY)
+    cut, test_rows, total = split_cut(
+        cut_lineage(keys) if materialise_keys else keys,
         test_size=mixture.test_split_size,
-        digest=F.md5(F.concat(F.lit(f"{mixture.seed}:split:"), identity)),
+        digest=digest,
         key=identity,
-        total=total,
         fetch_rows=fetch_rows,
     )
-    test_rows = math.ceil(total * mixture.test_split_size)
+    side = F.when(cut.keeps(digest, identity), "test").otherwise("train")
+    marked = united.withColumn(_SPLIT, side)
     logger.info("mixture of %d rows, %d of them test", total, test_rows)
     return MixturePlan(marked, ("train", "test"), sampled, total, test_rows)
 

@@ -21,18 +21,24 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="convoweave-"))
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to reliable storage and read on from there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to shared storage and read on from there.
+
+    A parquet table rather than ``checkpoint()``, because later passes then read
+    only the columns they use. It outlives the executors; like checkpoints it
+    is left for the owner of the folder to clear.
+    """
+    path = scratch_path(df.sparkSession, "part")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
