@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.keys import row_key
 from ..sources.scratch import cut_lineage
+from .projection import quoted
 
 # A content row expands to at most this many copies inside one task.
 COPIES_PER_TASK_ROW = 1 << 16
@@ -18,9 +17,9 @@ COPIES_PER_TASK_ROW = 1 << 16
 def content_digest(df: DataFrame) -> Column:
     """md5 over all columns; a single text column hashes as it is."""
     texts = [
-        F.to_json(F.struct(F.col(f.name)))
+        F.to_json(F.struct(F.col(quoted(f.name))))
         if isinstance(f.dataType, (ArrayType, StructType))
-        else row_key([f.name])
+        else row_key([quoted(f.name)])
         for f in df.schema.fields
     ]
     return F.md5(texts[0] if len(texts) == 1 else F.concat_ws("\x1f", *texts))
@@ -39,7 +38,7 @@ def with_content_key(
     if any(isinstance(f.dataType, MapType) for f in df.schema.fields):
         raise ValueError("rows with map columns cannot be compared: name key columns instead")
     count, digest, copy, part = "_copies", "_digest", "_copy", "_slice"
-    columns: Sequence[str] = df.columns
+    columns = [F.col(quoted(name)) for name in df.columns]
     counted = cut_lineage(
         df.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias(count))

@@ -15,7 +15,7 @@ def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [name for name in columns if name not in df.columns]
     if missing:
         raise ValueError(f"no column {missing} among {df.columns}")
-    return df.select(*[F.col(_quoted(name)) for name in columns])
+    return df.select(*[F.col(quoted(name)) for name in columns])
 
 
 def rename_sequential(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
@@ -92,5 +92,6 @@ def _same_type(a: DataType, b: DataType) -> bool:
     return a == b
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
+    """A column name taken literally, dots included."""
     return "`" + name.replace("`", "``") + "`"

@@ -4,6 +4,8 @@ import hashlib
 import math
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import convoweave as cw
@@ -122,6 +124,18 @@ def test_content_keys_number_the_copies(spark, copies_per_row):
     assert len({r.key for r in out}) == len(rows)
 
 
+def test_content_keys_take_names_literally(spark):
+    df = spark.sql("SELECT 1 AS `a.b`, array('x') AS `c d` UNION ALL SELECT 1, array('x')")
+    assert {len(r) for r in cw.with_content_key(df, "key").collect()} == {3}
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(2, 400), st.floats(0.001, 0.999), st.integers(0, 9), st.sampled_from([3, 20_000]))
+def test_any_size_any_weight(spark, n, weight, seed, fetch_rows):
+    kept = cw.exact_sample(spark.range(n), ["id"], fraction=weight, seed=seed, fetch_rows=fetch_rows)
+    assert ids(kept) == set(plain_order(n, "sample", seed=seed)[: int(n * weight)])
+
+
 def test_keyless_sample_splits_copies(spark):
     df = spark.createDataFrame([("same",)] * 40, "text string")
     keyed = cw.with_content_key(df, "key")
