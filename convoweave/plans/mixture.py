@@ -103,7 +103,6 @@ def plan_mixture(
             # Splitting counts the rows that come out of the Python code; run that once.
             df = cut_lineage(df)
         frames.append(df.withColumn(MEMBER, F.lit(name)))
-    # A batch transform declares its own nullability; union and types are checked here.
     united = concat_members(frames)
     united = united.withColumn(
         ORDER, stage_digest(mixture.seed, "shuffle", F.col(MEMBER), F.col(KEY))
