@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..sources.scratch import scratch_path
-from . import decontamination, language_id, token_counts, token_files, url_filters
+from . import (
+    decontamination,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    piece_encoding,
+    token_counts,
+    token_files,
+    url_filters,
+)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,6 +56,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = piece_encoding.encode_pieces(docs, PIECE_MODEL)
+    return piece_encoding.decode_pieces(encoded, PIECE_MODEL).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.md5(F.array_join("ids", " ")).alias("ids_md5"),
+        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("restored"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
@@ -66,13 +87,33 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECE_MODEL, keep=["doc_id"])
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5")
+    )
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score_texts(docs.withColumn("held_out", fold("doc_id", 5) == 1), "held_out")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters,
         op2_language_id,
+        op4_pieces,
         op5_token_files,
         op6_decontamination,
         op7_token_counts,
+        op8_line_dedup,
+        op9_near_dedup,
+        op10_lm_scoring,
     )
 }
