@@ -14,6 +14,7 @@ from . import (
     line_dedup,
     lm_scoring,
     near_dedup,
+    neighbours,
     piece_encoding,
     token_counts,
     token_files,
@@ -56,6 +57,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(docs, model, keep=["doc_id", "held_out"])
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = piece_encoding.encode_pieces(docs, PIECE_MODEL)
@@ -108,6 +113,7 @@ QUERIES = {
     for f in (
         op1_url_filters,
         op2_language_id,
+        op3_neighbours,
         op4_pieces,
         op5_token_files,
         op6_decontamination,
