@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 # A batch is worked on in slices of about this many text bytes at most, so that
 # what a step holds in Python does not depend on how long the texts of a batch are.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def raw_texts(column: pa.Array) -> list[bytes | None]:
@@ -70,3 +70,30 @@ def append_columns(
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.select(*quoted).mapInArrow(run, schema)
+
+
+class Recent:
+    """Values of keys seen lately: a bounded table that keeps what was used since it last filled up.
+
+    It only saves work, so what a task returns does not depend on it.
+    """
+
+    def __init__(self, entries: int) -> None:
+        self.entries = entries
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+
+    def lookup(self, keys: Sequence[bytes], make: Callable[[list[bytes]], list], longest: int) -> list:
+        """Values of ``keys``; unknown ones come from ``make``. Longer keys are not remembered."""
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found
+        missing = {k for k, v in zip(keys, found) if v is None}
+        again = {k: v for k in missing if (v := self.old.get(k)) is not None}
+        new = list(missing - again.keys())
+        again.update(zip(new, make(new)))
+        out = [again[k] if v is None else v for k, v in zip(keys, found)]
+        if len(self.young) + len(again) > self.entries:
+            self.old, self.young = self.young, {}
+        self.young.update((k, v) for k, v in again.items() if len(k) <= longest)
+        return out

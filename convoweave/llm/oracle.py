@@ -27,3 +27,60 @@ SELECT page_id, host, path,
             WHEN spam THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
+
+ORACLE["op6_decontamination"] = r"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS n,
+         array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS w
+  FROM item, range(1, greatest(1, len(ws) - 9) + 1) r(i) WHERE len(ws) > 0),
+doc AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM doc),
+firsts AS (SELECT DISTINCT split_part(w, ' ', 1) AS w FROM win),
+start AS (SELECT doc_id, pos FROM word SEMI JOIN firsts USING (w)),
+hit AS (
+  SELECT s.doc_id, s.pos, win.n, win.item
+  FROM start s JOIN doc d USING (doc_id), (SELECT DISTINCT n FROM win) sizes
+  JOIN win ON win.n = sizes.n AND win.w = array_to_string(d.ws[s.pos : s.pos + sizes.n - 1], ' ')
+  WHERE s.pos + sizes.n - 1 <= len(d.ws)),
+spot AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM hit),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM spot GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS names FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE["op9_near_dedup"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s
+  FROM doc, range(1, greatest(1, len(ws) - 3) + 1) r(i) WHERE len(ws) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * both.n >= 80 * (x.n + y.n - both.n)),
+reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.v),
+least_ AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN size USING (doc_id) JOIN least_ USING (doc_id)
+"""

@@ -10,19 +10,20 @@ count is the number stored at its end. A text has the sum over its words.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField
 
-from .batches import append_columns, raw_texts
+from .batches import Recent, append_columns, raw_texts
 from .pieces import SPACE, Pieces, load_pieces, piece_words
 
 # Words a worker remembers with their counts, and the longest of them in bytes.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 KNOWN_BYTES = 64
 
-_KNOWN: dict[str, dict[bytes, int]] = {}
+_RECENT: dict[str, Recent] = {}
 
 
 def terminal_counts(words: Iterable[str], pieces: Pieces) -> list[int]:
@@ -61,19 +62,18 @@ def count_tokens(
     takes memory in proportion to its length. A column named ``out`` is replaced.
     """
 
+    def make(words: list[bytes]) -> list[int]:
+        texts = {w.decode("utf-8", "replace").replace(" ", SPACE): w for w in words}
+        order = sorted(texts)
+        counts = dict(zip(order, terminal_counts(order, load_pieces(model))))
+        found = {texts[t]: n for t, n in counts.items()}
+        return [found[w] for w in words]
+
     def count(batch: pa.RecordBatch) -> list[list[int]]:
-        pieces = load_pieces(model)
-        known = _KNOWN.setdefault(model, {})
-        if len(known) > KNOWN_WORDS:
-            known.clear()
+        recent = _RECENT.setdefault(model, Recent(KNOWN_WORDS))
         words = [piece_words(raw) for raw in raw_texts(batch.column(0).cast(pa.string()))]
-        new = {w.decode("utf-8", "replace").replace(" ", SPACE): w for w in set().union(*words) - known.keys()}
-        order = sorted(new)
-        known.update(zip(map(new.__getitem__, order), terminal_counts(order, pieces)))
-        counts = [sum(map(known.__getitem__, w)) for w in words]
-        for w in new.values():
-            if len(w) > KNOWN_BYTES:
-                del known[w]
-        return [counts]
+        flat = list(chain.from_iterable(words))
+        counts = iter(recent.lookup(flat, make, KNOWN_BYTES))
+        return [[sum(islice(counts, len(w))) for w in words]]
 
     return append_columns(docs, [text_col], [StructField(out, LongType())], count, text=text_col, keep=keep)

@@ -9,19 +9,21 @@ so that readers of some documents or of the metadata skip the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 import os
+import re
 import zlib
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from .batches import append_columns, raw_texts, slices
 from pyspark.sql.types import LongType, StructField
 
+from .batches import Recent, append_columns, raw_texts, slices
+
 SCHEMA = "part int, pos bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 FORMAT = {
@@ -33,8 +35,10 @@ FORMAT = {
     "parquet.enable.dictionary#ids.list.element": "true",
 }
 
+_PLAIN = re.compile(rb"[a-z]+")
+
 # Chunks whose ids a worker remembers, and the longest of them in bytes.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 300_000
 CACHED_BYTES = 64
 
 # Turns raw texts into little-endian 32-bit ids, one bytes object per text.
@@ -51,29 +55,44 @@ def chunk_encoder(path: str, end_id: int | None) -> Encoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    recent = Recent(CACHED_CHUNKS)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
+    def make(chunks: list[bytes]) -> list[bytes]:
+        out: dict[bytes, bytes] = {}
+        # A lower-case word with a comma or full stop is the word and the mark.
+        marked = [c for c in chunks if c[-1:] in (b",", b".") and _PLAIN.fullmatch(c[:-1])]
+        stems = [c[:-1] for c in marked]
+        plain = {c for c in chunks if _PLAIN.fullmatch(c)}
+        rest = [c for c in chunks if c not in plain and not (c[-1:] in (b",", b".") and _PLAIN.fullmatch(c[:-1]))]
+        # Pre-tokens of a to z are their own byte-level form: the merges apply directly.
+        out.update((c, _ids(t.id for t in tokenizer.model.tokenize(c.decode()))) for c in plain)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            texts = [c.decode("utf-8", "replace") for c in part]
+            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            out.update((c, _ids(e.ids)) for c, e in zip(part, found))
+        if marked:
+            mark = {m: _ids(tokenizer.encode(m.decode(), add_special_tokens=False).ids) for m in (b",", b".")}
+            found = recent.lookup(stems, make, CACHED_BYTES)
+            out.update((c, ids + mark[c[-1:]]) for c, ids in zip(marked, found))
+        return [out[c] for c in chunks]
+
     def encode(texts: list[bytes | None]) -> list[bytes]:
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
-        chunks = [raw.split() if raw else [] for raw in texts]
-        new = list(set().union(*chunks) - known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = tokenizer.encode_batch_fast(
-                [c.decode("utf-8", "replace") for c in part], add_special_tokens=False
-            )
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
-        out = [b"".join(map(known.__getitem__, c)) + end for c in chunks]
-        for c in new:
-            if len(c) > CACHED_BYTES:
-                del known[c]
+        out = []
+        for raw in texts:
+            # The tokenizer folds case itself, but only after it has looked for special tokens.
+            folded = (raw if b"<|" in raw else raw.lower()) if raw else b""
+            out.append(b"".join(recent.lookup(folded.split(), make, CACHED_BYTES)) + end)
         return out
 
     return encode
 
 
+def _ids(ids) -> bytes:
+    return array("I", ids).tobytes()
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
