@@ -43,14 +43,12 @@ doc AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
   FROM documents),
-word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM doc),
-firsts AS (SELECT DISTINCT split_part(w, ' ', 1) AS w FROM win),
-start AS (SELECT doc_id, pos FROM word SEMI JOIN firsts USING (w)),
-hit AS (
-  SELECT s.doc_id, s.pos, win.n, win.item
-  FROM start s JOIN doc d USING (doc_id), (SELECT DISTINCT n FROM win) sizes
-  JOIN win ON win.n = sizes.n AND win.w = array_to_string(d.ws[s.pos : s.pos + sizes.n - 1], ' ')
-  WHERE s.pos + sizes.n - 1 <= len(d.ws)),
+size AS (SELECT DISTINCT n FROM win),
+cut AS (
+  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS pos,
+         unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) AS w
+  FROM doc, size WHERE len(ws) >= n),
+hit AS (SELECT doc_id, pos, n, item FROM cut JOIN win USING (n, w)),
 spot AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM hit),
 hits AS (SELECT doc_id, count(*) AS n_hit FROM spot GROUP BY doc_id),
 items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS names FROM hit GROUP BY doc_id)
@@ -71,12 +69,12 @@ shingle AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s
   FROM doc, range(1, greatest(1, len(ws) - 3) + 1) r(i) WHERE len(ws) > 0),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
-both AS (
+overlap AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
   FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 link AS (
-  SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
-  WHERE 100 * both.n >= 80 * (x.n + y.n - both.n)),
+  SELECT a, b FROM overlap JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * overlap.n >= 80 * (x.n + y.n - overlap.n)),
 reach AS (
   SELECT doc_id AS v, doc_id AS r FROM documents
   UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.v),

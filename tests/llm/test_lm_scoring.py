@@ -1,0 +1,83 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from convoweave.llm.lm_scoring import build_filter, pair_hashes, score_texts
+from convoweave.llm.queries import op10_lm_scoring
+from llm_data import EDGES, prose
+
+
+def words(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+
+
+def plain(rows):
+    """``(n_tokens, n_known, train_tokens, base)`` by id and text."""
+    counts = Counter()
+    for _, text, held in rows:
+        if not held:
+            counts.update([*words(text), None])
+    n, v = sum(counts.values()), len(counts)
+    out = {}
+    for k, text, held in rows:
+        tokens = [*words(text), None]
+        base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
+        out[k, text] = (held, len(tokens), sum(counts[t] > 0 for t in tokens), n, base)
+    return out
+
+
+def check(rows, found, text_of):
+    expected = plain(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        options = [v for (k, t), v in expected.items() if k == r.doc_id]
+        assert any(
+            (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == o[:4] and math.isclose(r.base_score, o[4], rel_tol=1e-9) for o in options
+        ), r
+        assert -1e9 < r.score < 0
+
+
+def test_counts_and_base_scores(spark, edges):
+    rows = [(k, t, k is not None and k % 3 == 0) for k, t in EDGES]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, held boolean").repartition(4)
+    check(rows, score_texts(df, "held").collect(), dict(EDGES))
+
+
+def test_nothing_to_learn_from(spark):
+    rows = [(1, "a b", True), (2, None, True)]
+    found = score_texts(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean"), "held").collect()
+    check(rows, found, {})
+    assert score_texts(spark.createDataFrame([], "doc_id bigint, text string, held boolean"), "held").count() == 0
+
+
+def test_filter_gives_counts_up_to_a_power_of_two(spark):
+    import xxhash
+
+    texts = [prose(i % 40, 30) for i in range(120)]
+    filter_ = build_filter(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    exact = Counter()
+    for t in texts:
+        w = [None, *words(t), None]
+        exact.update(zip(w, w[1:]))
+    wrong = 0
+    for t in texts[:40]:
+        w = words(t)
+        got = filter_.counts(pair_hashes(np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)))
+        for pair, c in zip(zip([None, *w], [*w, None]), got):
+            level = 2.0 ** math.floor(math.log2(exact[pair])) if exact[pair] > 1 else 0.0
+            assert c >= level  # what was inserted is always found
+            wrong += c != level
+    assert wrong <= 0.05 * sum(len(words(t)) for t in texts[:40])
+    small = build_filter(spark.createDataFrame([(t,) for t in texts], "text string"), max_filter_bytes=64)
+    assert small.bits.nbytes <= 64 + small.bits.shape[0]
+
+
+def test_query_beats_the_word_model_on_held_out_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    found = op10_lm_scoring(spark, sf).collect()
+    docs = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check(docs, found, {})
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
