@@ -36,17 +36,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round hangs all larger neighbours of a vertex on its smallest one, then does the same
     with the smaller ones, until nothing changes; rounds grow with the logarithm of the
     longest chain. Only minima are gathered by vertex, so a vertex with many links is
-    aggregated before it is shuffled. Rounds are written to shared storage; the driver sees
-    two numbers of each. Links to itself, repeated and null links are harmless.
+    aggregated before it is shuffled. Rounds are written to shared storage; the driver learns
+    whether one is the last. Links to itself, repeated and null links are harmless.
     """
     edges = links.select(F.col(a).alias("v"), F.col(b).alias("u")).dropna()
     edges = cut_lineage(_normal(edges))
-    before = None
     while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if now == before:
+        # Done when each vertex hangs on one other that hangs on none.
+        hung = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        inner = edges.select(F.col("u").alias("v")).join(hung, "v", "left_semi")
+        if inner.union(hung.where(F.col("n") > 1).select("v")).isEmpty():
             break
-        before = now
     roots = edges.select(F.col("u").alias("v"), F.col("u").alias("label")).distinct()
     return edges.select("v", F.col("u").alias("label")).union(roots)

@@ -108,8 +108,9 @@ def _segment_counts(texts: DataFrame, segments: int) -> DataFrame:
                 found = []
                 for raw in raw_texts(batch.column("text")):
                     words = lm_words(raw)
-                    for w in set(words) - known.keys():
-                        known[w] = xxhash.xxh64_intdigest(w)
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = xxhash.xxh64_intdigest(w)
                     found.append(pair_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
                     if len(known) > 500_000:
                         known.clear()

@@ -51,8 +51,9 @@ def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_KNOWN) > KNOWN_WORDS:
         _KNOWN.clear()
-    for w in set(words) - _KNOWN.keys():
-        _KNOWN[w] = xxhash.xxh64_intdigest(w)
+    for w in set(words):
+        if w not in _KNOWN:
+            _KNOWN[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     code = h[: len(h) - n + 1].copy()

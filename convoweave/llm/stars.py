@@ -22,8 +22,8 @@ from .prefilter import keep_known, key_bitmap
 
 # Buckets of up to so many members are compared pair by pair at once.
 SMALL_BUCKET = 6
-# New centres of a bucket in the first round after the stars; four times more in each next.
-NEW_CENTRES = 4
+# New centres of a bucket in the first round after the stars; eight times more in each next.
+NEW_CENTRES = 16
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -66,11 +66,11 @@ def similar_links(
     centre = large.groupBy("key").agg(F.max_by("v", rank).alias("c"))
     starred = large.join(centre, "key")
     pairs = _small_pairs(shared).union(starred.select(F.col("c").alias("a"), F.col("v").alias("b")))
-    links = cut_lineage(verify(cut_lineage(_ordered(pairs))))
-    rest = cut_lineage(starred.where(F.col("v") != F.col("c")))
+    links = cut_lineage(verify(_ordered(pairs)))
+    labels = cut_lineage(link(links))
+    rest = starred.where(F.col("v") != F.col("c"))
     centres = NEW_CENTRES
     while True:
-        labels = cut_lineage(link(links))
         own = labels.select("v", F.col("label").alias("own"))
         of_centre = labels.select(F.col("v").alias("c"), F.col("label").alias("main"))
         labelled = (
@@ -95,7 +95,10 @@ def similar_links(
         chosen = cut_lineage(chosen.select("key", F.col("v").alias("d"), F.col("own").alias("d_own")))
         compared = open_.join(chosen, "key").where(F.col("own") != F.col("d_own"))
         pairs = _ordered(compared.select(F.col("d").alias("a"), F.col("v").alias("b")))
-        links = cut_lineage(links.union(verify(cut_lineage(pairs))).distinct())
+        more = cut_lineage(verify(pairs))
+        if not more.isEmpty():
+            links = cut_lineage(links.union(more))
+            labels = cut_lineage(link(links))
         used = chosen.select("key", F.col("d").alias("v"))
-        rest = cut_lineage(open_.select("key", "v", "n", "weight", "c").join(used, ["key", "v"], "left_anti"))
-        centres *= 4
+        rest = open_.select("key", "v", "n", "weight", "c").join(used, ["key", "v"], "left_anti")
+        centres *= 8
