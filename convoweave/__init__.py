@@ -1,7 +1,14 @@
 """Post-training data for chat language models as Spark DataFrame plans."""
 
 from .functions.chat import assistant_spans, invalid_messages, render_chat
-from .functions.tokens import token_count, token_counter, tokenize, truncate_tokens
+from .functions.tokens import (
+    token_count,
+    token_counter,
+    token_lister,
+    token_mask,
+    tokenize,
+    truncate_tokens,
+)
 from .operators.conversations import (
     assemble_messages,
     render_turns,
@@ -23,7 +30,7 @@ from .plans.mixture import MixturePlan, build_mixture, load_training_data, plan_
 from .plans.run_catalogue import run_status
 from .plans.training_text import packed_text, preference_text, render_pairs, sft_text
 from .sources.contracts import check_contract, task_columns
-from .sources.listing import scan_configs, scan_tree
+from .sources.listing import scan_configs
 from .sources.sinks import split_counts, write_metrics, write_splits
 from .sources.tables import load_dataset, load_member
 from .spec import BatchTransform, Member, Mixture, RowTransform
@@ -59,7 +66,6 @@ __all__ = [
     "render_turns",
     "run_status",
     "scan_configs",
-    "scan_tree",
     "select_columns",
     "sft_text",
     "split_counts",
@@ -67,6 +73,8 @@ __all__ = [
     "task_columns",
     "token_count",
     "token_counter",
+    "token_lister",
+    "token_mask",
     "tokenize",
     "train_test_split",
     "truncate_tokens",

@@ -20,12 +20,25 @@ _NULL = "\\N"
 _SEPARATOR = "\x1f"
 
 
+def key_part(value: Column) -> Column:
+    """Text of a key value that is no other value's: NULL is ``\\N``, and a backslash or separator
+    inside a text is escaped, so that joined parts can be told apart."""
+    text = F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    text = F.replace(text, F.lit(_SEPARATOR), F.lit("\\s"))
+    return F.coalesce(text, F.lit(_NULL))
+
+
 def row_key(columns: Sequence[str]) -> Column:
-    """Text identity of a row from its key columns; NULL has a text of its own."""
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit(_NULL)) for name in columns]
+    """Text identity of a row from its key columns, taken literally; different rows differ."""
+    parts = [key_part(F.col(quoted(name))) for name in columns]
     return parts[0] if len(parts) == 1 else F.concat_ws(_SEPARATOR, *parts)
 
 
+def quoted(name: str) -> str:
+    """A column name as it is, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def stage_digest(seed: int, stage: str, member: Column | str, key: Column) -> Column:
     """Hex digest that orders rows for one stage.
 

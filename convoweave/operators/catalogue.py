@@ -65,8 +65,12 @@ def summarise_runs(entries: DataFrame, *, results_root: str = "results") -> Data
 
 
 def attach_hub_ids(runs: DataFrame, configs: DataFrame) -> DataFrame:
-    """Left join of ``(run, hub_model_id)`` by run path; no config gives NULL."""
-    return runs.join(configs.withColumnRenamed("run", "path"), "path", "left")
+    """Left join of ``(run, hub_model_id)`` by run path; no config gives NULL.
+
+    A run with several configs has the smallest of their ids and stays one row.
+    """
+    ids = configs.groupBy(F.col("run").alias("path")).agg(F.min("hub_model_id").alias("hub_model_id"))
+    return runs.join(ids, "path", "left")
 
 
 def attach_published(runs: DataFrame, published: DataFrame, *, out: str = "published") -> DataFrame:

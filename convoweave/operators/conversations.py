@@ -126,6 +126,6 @@ def turn_spans(
     return placed.where(F.col("_first").isNotNull()).select(
         key,
         turn,
-        (F.col("_at") + F.col("_first")).cast("int").alias("start"),
-        (F.col("_at") + F.col("_last")).cast("int").alias("end"),
+        (F.col("_at") + F.col("_first")).cast("bigint").alias("start"),
+        (F.col("_at") + F.col("_last")).cast("bigint").alias("end"),
     )

@@ -4,25 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, TimestampType
 
-from ..functions.keys import row_key
+from ..functions.keys import key_part, quoted
 from ..sources.scratch import cut_lineage
-from .projection import quoted
+
+# JSON of nested values without loss: microseconds, and no session time zone.
+_EXACT_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timeZone": "UTC",
+}
 
 # A content row expands to at most this many copies inside one task.
 COPIES_PER_TASK_ROW = 1 << 16
 
 
 def content_digest(df: DataFrame) -> Column:
-    """md5 over all columns; a single text column hashes as it is."""
-    texts = [
-        F.to_json(F.struct(F.col(quoted(f.name))))
-        if isinstance(f.dataType, (ArrayType, StructType))
-        else row_key([quoted(f.name)])
-        for f in df.schema.fields
-    ]
-    return F.md5(texts[0] if len(texts) == 1 else F.concat_ws("\x1f", *texts))
+    """md5 over the texts of all columns; rows that differ have different texts."""
+
+    def text(field) -> Column:
+        column = F.col(quoted(field.name))
+        if isinstance(field.dataType, (ArrayType, StructType)):
+            return F.to_json(F.struct(column), _EXACT_JSON)  # escapes control characters itself
+        if isinstance(field.dataType, TimestampType):
+            column = F.unix_micros(column)
+        elif isinstance(field.dataType, BinaryType):
+            column = F.hex(column)
+        return key_part(column)
+
+    return F.md5(F.concat_ws("\x1f", *map(text, df.schema.fields)))
 
 
 def with_content_key(

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, NullType, StructType
 
+from ..functions.keys import quoted
+
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Project to ``columns``; a name that is not there is an error."""
@@ -90,8 +92,3 @@ def _same_type(a: DataType, b: DataType) -> bool:
             _same_type(f.dataType, theirs[f.name]) for f in a.fields
         )
     return a == b
-
-
-def quoted(name: str) -> str:
-    """A column name taken literally, dots included."""
-    return "`" + name.replace("`", "``") + "`"

@@ -26,23 +26,51 @@ def apply_transform(df: DataFrame, transform: Transform) -> DataFrame:
 
 
 def _map_batches(df: DataFrame, transform: BatchTransform) -> DataFrame:
+    """Declared columns come from the callback's frame, by index; all others stay in Arrow."""
     result, declared = _result_schema(df, transform.schema)
-    fn, names = transform.fn, result.fieldNames()
+    fn = transform.fn
 
     def run(batches):
+        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(result)
+        # Whole numbers and booleans keep their values beside nulls.
+        nullable = {
+            pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(),
+            pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype(),
+        }
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            out = fn(batch.copy(deep=False))
-            if len(out) != len(batch):
+            frame = pa.Table.from_batches([batch]).to_pandas(types_mapper=nullable.get)
+            out = fn(frame.copy(deep=False))
+            if len(out) != len(frame):
                 raise ValueError(
-                    f"a transform maps each row to one row: {len(batch)} in, {len(out)} out"
+                    f"a transform maps each row to one row: {len(frame)} in, {len(out)} out"
                 )
-            for name in declared:
-                batch[name] = out[name].to_numpy() if name in out else None
-            yield batch[names]
+            undeclared = [c for c in out.columns if c not in frame.columns and c not in declared]
+            missing = [c for c in declared if c not in out.columns]
+            if undeclared or missing:
+                raise ValueError(
+                    f"a transform returned undeclared columns {undeclared} and left out {missing}"
+                )
+            if not out.index.equals(frame.index):
+                if not out.index.is_unique or not out.index.isin(frame.index).all():
+                    raise ValueError("a transform returned rows under another index")
+                out = out.loc[frame.index]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.Array.from_pandas(out[f.name], type=f.type)
+                    if f.name in declared
+                    else batch.column(f.name).cast(f.type)
+                    for f in schema
+                ],
+                schema=schema,
+            )
 
-    return df.mapInPandas(run, result)
+    return df.mapInArrow(run, result)
 
 
 def _map_rows(df: DataFrame, transform: RowTransform) -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chat import assistant_spans, invalid_messages, render_chat
-from ..functions.tokens import truncate_tokens
+from ..functions.tokens import token_mask, truncate_tokens
 from ..operators.packing import pack, pack_blocks
 from ..sources.contracts import TASK_COLUMNS, task_columns
 
-# Default maximum lengths in tokens.
+# The maximum lengths in tokens that the recipes use. Nothing is cut unless asked for.
 MAX_LENGTH = {"sft": 4096, "preference": 2048}
 
 
@@ -52,20 +52,32 @@ def sft_text(
     max_length: int | None = None,
     add_generation_prompt: bool = False,
     on_invalid: str = "reject",
+    tokenizer: Callable[[Column], Column] | None = None,
 ) -> TrainingText:
-    """Text, loss spans (if ``masked``), tokens and truncation flag per conversation.
+    """Text, tokens and truncation flag per conversation; if ``masked``, loss spans in
+    the text and ``mask``, one flag for each token that is kept.
 
+    ``max_length=None`` cuts nothing, as packing needs it. ``tokenizer`` (``token_lister``) gives ids
+    of a real tokenizer; masks are for the built-in tokens only.
     Row-local throughout: no shuffle. ``on_invalid="raise"`` fails the job at the
     first conversation that cannot be rendered instead of setting it aside.
     """
-    limit = MAX_LENGTH["sft"] if max_length is None else max_length
+    if masked and tokenizer is not None:
+        raise ValueError("masks are made for the built-in tokens, not for those of a tokenizer")
     valid, rejects = _guarded(task_columns(df, "sft", tuple(keep)), "sft", on_invalid)
     rendered = valid.withColumn(
         "text", render_chat(F.col("messages"), eos, add_generation_prompt)
     )
     if masked:
-        rendered = rendered.withColumn("spans", assistant_spans(F.col("messages"), eos))
-    return TrainingText(truncate_tokens(rendered, limit, eos=eos).drop("messages"), rejects)
+        rendered = rendered.withColumns(
+            {
+                "spans": assistant_spans(F.col("messages"), eos),
+                "mask": token_mask(F.col("messages"), eos, add_generation_prompt),
+            }
+        )
+    mask = "mask" if masked else None
+    cut = truncate_tokens(rendered, max_length, eos=eos, tokenizer=tokenizer, mask=mask)
+    return TrainingText(cut.drop("messages"), rejects)
 
 
 def preference_text(
@@ -75,13 +87,16 @@ def preference_text(
     keep: Sequence[str] = (),
     max_length: int | None = None,
     on_invalid: str = "reject",
+    tokenizer: Callable[[Column], Column] | None = None,
 ) -> TrainingText:
-    """Both sides of each pair as text and tokens; any ``messages`` column is left out."""
-    limit = MAX_LENGTH["preference"] if max_length is None else max_length
+    """Both sides of each pair as text and tokens; any ``messages`` column is left out.
+
+    ``max_length=None`` cuts nothing.
+    """
     valid, rejects = _guarded(task_columns(df, "preference", tuple(keep)), "preference", on_invalid)
     rendered = render_pairs(valid, eos).drop("chosen", "rejected")
     for side in ("chosen", "rejected"):
-        rendered = truncate_tokens(rendered, limit, eos=eos, text=f"{side}_text")
+        rendered = truncate_tokens(rendered, max_length, eos=eos, text=f"{side}_text", tokenizer=tokenizer)
         for name in ("tokens", "n_tokens", "truncated"):
             rendered = rendered.withColumnRenamed(name, f"{side}_{name}")
     return TrainingText(rendered, rejects)
@@ -90,12 +105,22 @@ def preference_text(
 def packed_text(
     text: TrainingText, key_cols: Sequence[str], *, block: int, shards: int, seed: int = 0
 ) -> DataFrame:
-    """Token blocks of fixed length from rendered rows."""
-    rows = text.rows.select(*key_cols, "tokens", F.size("tokens").alias("length"))
+    """Token blocks of fixed length from rendered rows, with ``mask`` if they have one.
+
+    Takes the tokens as they are: render with ``max_length=None`` to lose none.
+    """
+    masked = "mask" in text.rows.columns
+    packed = F.arrays_zip("tokens", "mask") if masked else F.col("tokens")
+    rows = text.rows.select(*key_cols, packed.alias("tokens"), F.size("tokens").alias("length"))
     placed = pack(
         rows, key_cols, "length", block=block, shards=shards, seed=seed, materialise=True
     )
-    return pack_blocks(placed, "tokens", block=block)
+    blocks = pack_blocks(placed, "tokens", block=block)
+    if not masked:
+        return blocks
+    return blocks.select(
+        "shard", "block", F.col("tokens.tokens").alias("tokens"), F.col("tokens.mask").alias("mask")
+    )
 
 
 def _guarded(df: DataFrame, task: str, on_invalid: str) -> tuple[DataFrame, DataFrame]:

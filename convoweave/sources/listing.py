@@ -66,26 +66,6 @@ def run_configs(configs: DataFrame) -> DataFrame:
     return configs.select("run", hub_id(F.col("config_json")).alias("hub_model_id"))
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """A listing ``(path, is_dir)`` of the files below ``root``, paths relative to it.
-
-    Directories are those that hold files, as on an object store. Entries that
-    start with ``.`` or ``_`` are not listed. No content is read, but the driver
-    keeps the file names; for very large trees use a storage inventory table.
-    """
-    files = _files(spark, root).select(_below(F.col("path"), root).alias("path"))
-    parts = F.split("path", "/")
-    parents = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/")
-    )
-    folders = (
-        files.where(F.contains("path", F.lit("/"))).select(F.explode(parents).alias("path")).distinct()
-    )
-    return files.withColumn("is_dir", F.lit(False)).unionAll(
-        folders.withColumn("is_dir", F.lit(True))
-    )
-
-
 def scan_configs(spark: SparkSession, root: str, name: str = "config.yaml") -> DataFrame:
     """``(run, config_json)`` from the config file in each run directory below ``root``.
 
@@ -119,13 +99,25 @@ def _yaml_to_json(text: Column) -> Column:
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:
         import json
+        import math
 
         import yaml
 
+        def plain(value):
+            """As JSON has it: textual keys, null for numbers it cannot write, text for the rest."""
+            if isinstance(value, dict):
+                return {str(k): plain(v) for k, v in value.items()}
+            if isinstance(value, (list, tuple, set)):
+                return [plain(v) for v in value]
+            if isinstance(value, float) and not math.isfinite(value):
+                return None
+            return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
+
         def one(text):
+            # A file that cannot be read is a run without config, whatever is wrong with it.
             try:
-                return json.dumps(yaml.safe_load(text), default=str)
-            except (yaml.YAMLError, ValueError):
+                return json.dumps(plain(yaml.safe_load(text)))
+            except Exception:
                 return None
 
         return texts.map(one)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster, from ``spark.checkpoint.dir``.
+    """Shared folder of the cluster: ``spark.checkpoint.dir``, or the session's checkpoint folder.
 
-    Only a local session without the setting gets a temporary folder: on a
-    cluster a machine-local path would be lost with its executor.
+    There is no default: a machine-local path would be lost with its executor.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,9 +19,7 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
-        if context.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="convoweave-"))
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return context.getCheckpointDir()
 
 

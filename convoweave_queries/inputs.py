@@ -22,7 +22,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations that end with an answer; the rejected one repeats itself."""
+    """Conversations up to their last answer; the rejected one repeats that answer."""
+    answered = conversations(spark, sf_dir).withColumn(
+        "messages",
+        F.expr("slice(messages, 1, coalesce(array_max(transform(messages, "
+               "(m, i) -> if(m.role = 'assistant', i + 1, 0))), 0))"),
+    )
     last = F.element_at("messages", -1)
     prompt = F.slice("messages", 1, F.size("messages") - 1)
     answer = F.struct(
@@ -30,8 +35,7 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(last["content"], F.lit("\n"), last["content"]).alias("content"),
     )
     return (
-        conversations(spark, sf_dir)
-        .where(last["role"] == "assistant")
+        answered.where(F.size("messages") > 0)
         .select(
             "conv_id",
             "messages",

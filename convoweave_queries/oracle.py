@@ -54,12 +54,11 @@ spans AS (
 )"""
 PAIRS = f"""
 ended AS (
-  SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role
-  FROM conversations GROUP BY conv_id
+  SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id
 ),
 chosen_turns AS (
   SELECT c.conv_id, c.turn, c.role, c.text AS content
-  FROM conversations c JOIN ended e ON c.conv_id = e.conv_id AND e.last_role = 'assistant'
+  FROM conversations c JOIN ended e ON c.conv_id = e.conv_id AND c.turn <= e.last_turn
 ),
 rejected_turns AS (
   SELECT c.conv_id, c.turn, c.role,
@@ -77,6 +76,14 @@ pairs AS (
         FROM rejected_pieces GROUP BY conv_id) b ON a.conv_id = b.conv_id
 )"""
 TOKENS = r"'<\|assistant\|>|<\|system\|>|<\|user\|>|</s>|[^\s<]+|<'"
+# Tokens piece by piece; of an answer all but the marker are trained on.
+MASKED = f"""
+flagged AS (
+  SELECT conv_id, turn, place, token,
+         CASE WHEN role = 'assistant' AND place > 1 THEN '1' ELSE '0' END AS flag
+  FROM (SELECT conv_id, turn, role, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+        FROM (SELECT conv_id, turn, role, regexp_extract_all(piece, {TOKENS}) AS tokens FROM pieces))
+)"""
 MIXTURE = f"""
 {RENDERED},
 members AS (
@@ -235,19 +242,25 @@ ORACLE: dict[str, str] = {
         WITH {RENDERED}, {SPANS}
         SELECT p.conv_id, p.turn, p.piece, CAST(piece_start AS BIGINT) AS piece_start
         FROM pieces p JOIN placed s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
-    "turn_spans": f"WITH {RENDERED}, {SPANS} SELECT conv_id, turn, span_start, span_end FROM spans",
+    "turn_spans": f"""
+        WITH {RENDERED}, {SPANS}
+        SELECT conv_id, turn, CAST(span_start AS BIGINT) AS span_start,
+               CAST(span_end AS BIGINT) AS span_end
+        FROM spans""",
     "scan_dataset": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "scan_splits": "SELECT lang AS split, doc_id FROM documents",
     "scan_member_split": """
         SELECT doc_id, text, source, n_chars FROM documents WHERE lang = 'fr'""",
     "select_rename": "SELECT doc_id, text AS body FROM documents",
     "sft_columns": """
-        SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages FROM conversations
-        GROUP BY conv_id HAVING arg_max(role, turn) = 'assistant'""",
+        SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages FROM conversations GROUP BY conv_id""",
     "preference_columns": """
         SELECT conv_id, CAST(count(*) AS INTEGER) AS chosen_messages,
                CAST(count(*) AS INTEGER) AS rejected_messages
-        FROM conversations GROUP BY conv_id HAVING arg_max(role, turn) = 'assistant'""",
+        FROM conversations c
+        WHERE turn <= (SELECT max(turn) FROM conversations a
+                       WHERE a.conv_id = c.conv_id AND a.role = 'assistant')
+        GROUP BY conv_id""",
     "drop_empty_conversations": """
         SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages FROM conversations
         WHERE role = 'assistant' GROUP BY conv_id""",
@@ -259,10 +272,12 @@ ORACLE: dict[str, str] = {
                CAST(len(regexp_extract_all(text, '[^ \n]+')) AS INTEGER) AS n_words
         FROM documents""",
     "transform_batches": """
-        SELECT doc_id, lang, source, n_chars + 1 AS n_chars, lang || ':' || source AS labelled
+        SELECT doc_id, lang, source, n_chars + 1 AS n_chars, lang || ':' || source AS labelled,
+               CASE WHEN doc_id % 3 <> 0 THEN 9007199254740993 + doc_id END AS large
         FROM documents""",
     "transform_rows": """
-        SELECT doc_id, '<|user|>' || chr(10) || text || chr(10) AS text FROM documents""",
+        SELECT doc_id, length(text) + len(regexp_extract_all(text, '[áàâäéèêëíìîïóòôöúùûüñçÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ]')) AS n_letters
+        FROM documents""",
     "sample_by_weight": """
         SELECT doc_id, lang, n_chars FROM (
           SELECT *, row_number() OVER (
@@ -281,9 +296,12 @@ ORACLE: dict[str, str] = {
           SELECT *, row_number() OVER (
                    ORDER BY md5('42:sample:doc:' || content_key), content_key) AS place,
                  count(*) OVER () AS n
-          FROM (SELECT md5(text) || ':' || row_number() OVER (PARTITION BY text) AS content_key,
-                       CAST(length(text) AS INTEGER) AS n_chars
-                FROM documents))
+          FROM (SELECT md5(content) || ':' || row_number() OVER (PARTITION BY content) AS content_key,
+                       n_chars
+                FROM (SELECT replace(replace(text, chr(92), chr(92) || chr(92)), chr(31), chr(92) || 's')
+                             || chr(31) || coalesce(nullif(source, 'src0'), chr(92) || 'N') AS content,
+                             CAST(length(text) AS INTEGER) AS n_chars
+                      FROM documents)))
         WHERE place <= floor(n * CAST(0.5 AS DOUBLE))""",
     "shuffle_order": """
         SELECT doc_id, md5('42:shuffle:doc:' || doc_id) AS order_key FROM documents""",
@@ -355,7 +373,7 @@ ORACLE: dict[str, str] = {
     "packed_text": f"""
         WITH {RENDERED},
         tokenised AS (
-          SELECT conv_id, regexp_extract_all(text, {TOKENS})[1:4096] AS tokens,
+          SELECT conv_id, regexp_extract_all(text, {TOKENS}) AS tokens,
                  {_HASH.format(key="conv_id")} AS hash,
                  CAST({_PLACE.format(key="conv_id")} % 4 AS INTEGER) AS shard
           FROM rendered
@@ -369,6 +387,22 @@ ORACLE: dict[str, str] = {
         SELECT shard, CAST(floor(idx / 512) AS BIGINT) AS block,
                CAST(count(*) AS INTEGER) AS n_tokens, string_agg(token, ' ' ORDER BY idx) AS text
         FROM numbered GROUP BY shard, CAST(floor(idx / 512) AS BIGINT)""",
+    "packed_masked_text": f"""
+        WITH {RENDERED}, {MASKED},
+        numbered AS (
+          SELECT shard, token, flag,
+                 row_number() OVER (PARTITION BY shard ORDER BY hash, turn, place) - 1 AS idx
+          FROM (SELECT *, {_HASH.format(key="conv_id")} AS hash,
+                       CAST({_PLACE.format(key="conv_id")} % 4 AS INTEGER) AS shard
+                FROM flagged)
+        )
+        SELECT shard, CAST(floor(idx / 512) AS BIGINT) AS block,
+               string_agg(token, ' ' ORDER BY idx) AS text, string_agg(flag, '' ORDER BY idx) AS mask
+        FROM numbered GROUP BY shard, CAST(floor(idx / 512) AS BIGINT)""",
+    "token_mask": f"""
+        WITH {RENDERED}, {MASKED}
+        SELECT conv_id, left(string_agg(flag, '' ORDER BY turn, place), 256) AS mask
+        FROM flagged GROUP BY conv_id""",
     "sft_text": f"""
         WITH {DAMAGED}, {SPANS},
         tokenised AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,8 +126,8 @@ def select_rename(spark, sf_dir):
 
 @query
 def sft_columns(spark, sf_dir):
-    pairs = inputs.preference_pairs(spark, sf_dir)
-    return cw.task_columns(pairs, "sft", ("conv_id",)).select(
+    chats = inputs.conversations(spark, sf_dir).withColumn("n", F.size("messages"))
+    return cw.task_columns(chats, "sft", ("conv_id",)).select(
         "conv_id", F.size("messages").alias("n_messages")
     )
 
@@ -134,11 +135,10 @@ def sft_columns(spark, sf_dir):
 @query
 def preference_columns(spark, sf_dir):
     pairs = cw.drop_messages({"train": inputs.preference_pairs(spark, sf_dir)})["train"]
-    return cw.task_columns(pairs, "preference", ("conv_id",)).select(
-        "conv_id",
-        F.size("chosen").alias("chosen_messages"),
-        F.size("rejected").alias("rejected_messages"),
-    )
+    # Every column that is left shows, so a ``messages`` column that stayed would too.
+    sizes = [F.size(c).alias(f"{c}_messages") for c in pairs.columns if c != "conv_id"]
+    kept = cw.task_columns(pairs, "preference", ("conv_id",))
+    return pairs.select("conv_id", *sizes).join(kept.select("conv_id"), "conv_id")
 
 
 @query
@@ -173,22 +173,23 @@ def transform_expressions(spark, sf_dir):
 @query
 def transform_batches(spark, sf_dir):
     def longer(batch):
-        return batch.assign(n_chars=batch["n_chars"] + 1, labelled=batch["lang"] + ":" + batch["source"])
+        out = batch.assign(n_chars=batch["n_chars"] + 1, labelled=batch["lang"] + ":" + batch["source"])
+        return out.sort_values("n_chars")  # rows are matched by index
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    # A column that is only carried: large whole numbers beside nulls.
+    large = F.expr("if(doc_id % 3 = 0, null, 9007199254740993 + doc_id)").alias("large")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", large)
     return cw.apply_transform(docs, cw.BatchTransform(longer, "n_chars bigint, labelled string"))
 
 
 @query
 def transform_rows(spark, sf_dir):
-    def to_messages(row):
-        return {"messages": [{"role": "user", "content": row["text"]}]}
+    def decomposed(row):
+        # Unicode normalisation has no built-in form.
+        return {"n_letters": len(unicodedata.normalize("NFD", row["text"]))}
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    schema = "messages array<struct<role:string,content:string>>"
-    return cw.apply_transform(docs, cw.RowTransform(to_messages, schema)).select(
-        "doc_id", cw.render_chat(F.col("messages"), EOS).alias("text")
-    )
+    return cw.apply_transform(docs, cw.RowTransform(decomposed, "n_letters bigint")).drop("text")
 
 
 # --- exact sampling, order, split ------------------------------------------
@@ -210,7 +211,8 @@ def sample_composite_key(spark, sf_dir):
 
 @query
 def sample_without_key(spark, sf_dir):
-    texts = cw.with_content_key(table(spark, sf_dir, "documents").select("text"), "content_key")
+    docs = table(spark, sf_dir, "documents").select("text", F.expr("nullif(source, 'src0')").alias("source"))
+    texts = cw.with_content_key(docs, "content_key")
     kept = cw.exact_sample(texts, ["content_key"], fraction=0.5, seed=SEED, member="doc")
     return kept.select("content_key", F.length("text").alias("n_chars"))
 
@@ -405,6 +407,27 @@ def packed_text(spark, sf_dir):
     )
 
 
+def _digits(mask):
+    return F.array_join(F.transform(mask, lambda flag: flag.cast("int").cast("string")), "")
+
+
+@query
+def packed_masked_text(spark, sf_dir):
+    text = cw.sft_text(inputs.conversations(spark, sf_dir), eos=EOS, keep=["conv_id"], masked=True)
+    blocks = cw.packed_text(text, ["conv_id"], block=512, shards=4, seed=SEED)
+    return blocks.select(
+        "shard", "block", F.array_join("tokens", " ").alias("text"), _digits(F.col("mask")).alias("mask")
+    )
+
+
+@query
+def token_mask(spark, sf_dir):
+    text = cw.sft_text(
+        inputs.conversations(spark, sf_dir), eos=EOS, keep=["conv_id"], masked=True, max_length=256
+    )
+    return text.rows.select("conv_id", _digits(F.col("mask")).alias("mask"))
+
+
 @query
 def sft_text(spark, sf_dir):
     text = cw.sft_text(

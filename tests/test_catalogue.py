@@ -7,7 +7,7 @@ import convoweave as cw
 from convoweave.functions.status import hub_id
 from convoweave.operators import catalogue
 from convoweave.operators.skew import salted_join
-from convoweave.sources.listing import run_entries, scan_configs, scan_tree
+from convoweave.sources.listing import run_entries, scan_configs
 
 DIRS = [
     "results/sft/a",
@@ -194,31 +194,28 @@ def test_a_hot_run_and_a_hot_id_lose_nothing(spark):
     assert catalogue.exclude_published(status, known).count() == 1001
 
 
-def test_a_directory_tree_gives_the_same_catalogue(spark, tmp_path):
-    for path in FILES + [f"{d}/state.pt" for d in DIRS]:
-        file = tmp_path / path
-        file.parent.mkdir(parents=True, exist_ok=True)
-        file.write_text("x")
+def test_a_run_with_two_configs_stays_one_row(spark):
+    runs = spark.createDataFrame([("r1",), ("r2",)], "path string")
+    configs = spark.createDataFrame([("r1", "b"), ("r1", "a"), ("r1", None)], "run string, hub_model_id string")
+    rows = {r.path: r.hub_model_id for r in catalogue.attach_hub_ids(runs, configs).collect()}
+    assert rows == {"r1": "a", "r2": None}
+
+
+def test_json_configs_from_files(spark, tmp_path):
     for run, config in CONFIGS:
+        (tmp_path / run).mkdir(parents=True, exist_ok=True)
         (tmp_path / run / "config.json").write_text(config)
-    found = cw.run_status(
-        scan_tree(spark, str(tmp_path)), scan_configs(spark, f"file://{tmp_path}", "config.json")
-    )
-    rows = {r.path: (r.finished, r.latest_checkpoint_step, r.slurm_script, r.hub_model_id) for r in found.collect()}
-    assert rows == {
-        "results/sft/a": (False, 10, None, "org/a"),
-        "results/sft/B": (True, None, "results/sft/B/slurm/10.sh", "org/b"),
-        "results/sft/b2": (False, None, None, None),
-        "results/dpo/d": (True, None, "recipes/dpo/d.sh", None),
-    }
+    found = {r.run: r.config_json for r in scan_configs(spark, f"file://{tmp_path}", "config.json").collect()}
+    assert found == dict(CONFIGS)
 
 
 def test_yaml_configs(spark, tmp_path):
     pytest.importorskip("yaml")
-    texts = {"a b": "hub_model_id: ' x/y '\nlr: 1.0e-5", "b": "- 1", "c": "a: [", "d": "hub_model_id: 5"}
+    texts = {"a b": "hub_model_id: ' x/y '\nlr: 1.0e-5", "b": "- 1", "c": "a: [", "d": "hub_model_id: 5",
+             "e": "2020-01-01: x\nhub_model_id: e/e\n1: 2", "f": "lr: .inf\nhub_model_id: f/f", "g": "hub_model_id: g/g\nwhen: 2020-01-01"}
     for run, text in texts.items():
         (tmp_path / run).mkdir()
         (tmp_path / run / "config.yaml").write_text(text)
     configs = scan_configs(spark, str(tmp_path))
     rows = {r.run: r.id for r in configs.select("run", hub_id(F.col("config_json")).alias("id")).collect()}
-    assert rows == {"a b": "x/y", "b": None, "c": None, "d": None}
+    assert rows == {"a b": "x/y", "b": None, "c": None, "d": None, "e": "e/e", "f": "f/f", "g": "g/g"}

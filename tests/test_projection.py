@@ -115,6 +115,30 @@ def test_batch_transform_must_keep_the_rows(ab):
         out.collect()
 
 
+def test_batch_transform_keeps_untouched_values_and_matches_by_index(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 9007199254740993L), (2, NULL), (3, 9007199254740995L) AS t(a, big)").coalesce(1)
+
+    def fn(batch):
+        assert str(batch["big"].dtype) == "Int64"
+        return batch.assign(c=batch["a"] * 10).iloc[::-1]
+
+    out = cw.apply_transform(df, cw.BatchTransform(fn, "c int"))
+    assert {tuple(r) for r in out.collect()} == {(1, 9007199254740993, 10), (2, None, 20), (3, 9007199254740995, 30)}
+
+
+@pytest.mark.parametrize(
+    "fn, message",
+    [
+        (lambda b: b.assign(z=1, c=1), "undeclared columns"),
+        (lambda b: b, "left out"),
+        (lambda b: b.assign(c=1).set_index(b["a"] + 100), "another index"),
+    ],
+)
+def test_batch_transform_with_wrong_columns_or_index(ab, fn, message):
+    with pytest.raises(Exception, match=message):
+        cw.apply_transform(ab, cw.BatchTransform(fn, "c int")).collect()
+
+
 @pytest.mark.parametrize("transform", [{}, None, "def f(x): return x"])
 def test_no_transform_found(ab, transform):
     with pytest.raises(ValueError):

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import convoweave as cw
+from convoweave.functions.keys import row_key
 from convoweave.operators import exact_cut
 from convoweave.operators.exact_cut import DuplicateKeys
 
@@ -153,3 +154,21 @@ def test_streams_are_refused(spark):
     stream = spark.readStream.format("rate").load().withColumnRenamed("value", "id")
     with pytest.raises(ValueError):
         cw.exact_sample(stream, ["id"], fraction=0.5)
+
+
+def test_keys_tell_all_rows_apart(spark):
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("\\N", "x"), ("\\", "\\s"), ("\\\\", "s"), ("a\\sb", "c")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert cw.with_content_key(df, "key").select("key").distinct().count() == len(rows)
+    assert df.select(row_key(["a", "b"]).alias("k")).distinct().count() == len(rows)
+    times = spark.sql(
+        "SELECT explode(array(struct(timestamp'2020-01-01 00:00:00.000001' AS t), "
+        "struct(timestamp'2020-01-01 00:00:00.000002' AS t), struct(cast(null AS timestamp) AS t))) AS s"
+    )
+    assert cw.with_content_key(times, "key").select("key").distinct().count() == 3
+    assert cw.with_content_key(times.select("s.t"), "key").select("key").distinct().count() == 3
+
+
+def test_key_columns_are_taken_literally(spark):
+    df = spark.createDataFrame([(i,) for i in range(40)], "`a.b` bigint")
+    assert cw.exact_sample(df, ["a.b"], fraction=0.5, seed=1, member="m").count() == 20

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import convoweave as cw
+from convoweave.plans.training_text import MAX_LENGTH
 from convoweave.functions.tokens import token_pattern
 
 EOS = "</s>"
@@ -142,18 +143,45 @@ def test_sft_text_rejects_or_raises(chats):
     text = cw.sft_text(df, eos=EOS, keep=["id"], masked=True)
     assert [r.id for r in text.rows.collect()] == [0]
     assert [r.id for r in text.rejects.collect()] == [1]
-    assert text.rows.columns == ["id", "text", "spans", "tokens", "n_tokens", "truncated"]
+    assert text.rows.columns == ["id", "text", "spans", "mask", "tokens", "n_tokens", "truncated"]
     with pytest.raises(Exception, match="without content"):
         cw.sft_text(df, eos=EOS, on_invalid="raise").rows.collect()
     with pytest.raises(ValueError):
         cw.sft_text(df, eos=EOS, on_invalid="ignore")
 
 
-def test_preference_text_default_length(chats):
+def test_a_long_conversation_keeps_all_tokens_and_its_mask(chats):
+    df = chats([("user", "u " * 3000), ("assistant", "a " * 2996), ("tool", "x"), ("assistant", "b")])
+    text = cw.sft_text(df, eos=EOS, keep=["id"], masked=True)
+    row = text.rows.first()
+    assert row.n_tokens == len(row.tokens) == len(row.mask) == 6002 and not row.truncated
+    blocks = sorted(cw.packed_text(text, ["id"], block=1000, shards=1).collect(), key=lambda b: b.block)
+    tokens = [t for b in blocks for t in b.tokens]
+    mask = [m for b in blocks for m in b.mask]
+    assert tokens == row.tokens
+    assert [t for t, m in zip(tokens, mask) if m] == ["a"] * 2996 + [EOS, "b", EOS]
+    cut = cw.sft_text(df, eos=EOS, keep=["id"], masked=True, max_length=3002).rows.first()
+    assert len(cut.tokens) == len(cut.mask) == 3002 and cut.mask == row.mask[:3002] and cut.truncated
+
+
+def test_a_tokenizer_reaches_truncation_and_packing(chats):
+    ids = cw.token_lister(lambda texts: [[len(w) for w in t.split()] for t in texts])
+    df = chats([("user", "a bb ccc"), ("assistant", "dddd")])
+    text = cw.sft_text(df, eos=EOS, keep=["id"], tokenizer=ids, max_length=4)
+    row = text.rows.first()
+    assert (row.tokens, row.n_tokens, row.truncated) == ([8, 1, 2, 3], 6, True)
+    assert cw.packed_text(text, ["id"], block=8, shards=1).first().tokens == [8, 1, 2, 3]
+    with pytest.raises(ValueError):
+        cw.sft_text(df, eos=EOS, masked=True, tokenizer=ids)
+
+
+def test_preference_text_length(chats):
     df = chats([("user", "a"), ("assistant", "w " * 3000)], name="chosen").withColumn(
         "rejected", F.slice("chosen", 1, 1)
     ).withColumn("messages", F.col("chosen"))
-    row = cw.preference_text(df, eos=EOS, keep=["id"]).rows.first()
+    assert len(cw.preference_text(df, eos=EOS, keep=["id"]).rows.first().chosen_tokens) == 3004
+    limit = MAX_LENGTH["preference"]
+    row = cw.preference_text(df, eos=EOS, keep=["id"], max_length=limit).rows.first()
     assert len(row.chosen_tokens) == 2048 and row.chosen_truncated and not row.rejected_truncated
     assert "messages" not in row.asDict()
 
