@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 from ..sources.scratch import cut_lineage
 from .batches import append_columns, raw_texts
 from .prefilter import flag_known, keep_known, key_bitmap
-from .stars import shared_buckets, similar_links
+from .stars import shared_buckets, similar_links, similar_pairs
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -152,36 +152,20 @@ def near_duplicates(
     some = sketches.where(F.col("fp").isNotNull())
     classes = cut_lineage(
         some.groupBy("fp").agg(
-            F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("size")
+            F.min("_id").alias("rep"), F.first("keys").alias("keys")
         )
     )
     shared = shared_buckets(classes.select(F.explode("keys").alias("key"), F.col("fp").alias("v")))
     sizes = classes.join(shared.select(F.col("v").alias("fp")).distinct(), "fp", "left_semi").select(
-        "fp", "rep", "size"
+        "fp", "rep"
     )
     wanted = cut_lineage(sizes.select(F.col("rep").alias("_rep")).distinct())
     likely = keep_known(base, F.xxhash64("_id"), key_bitmap(F.xxhash64("_rep"), wanted))
     texts = likely.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = _full_sets(texts, width).join(sizes.select("fp", "size"), "fp")
-    sets = cut_lineage(sets.dropDuplicates(["fp"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        n = sets.select("fp", "size")
-        fits = (
-            pairs.join(n.select(F.col("fp").alias("a"), F.col("size").alias("na")), "a")
-            .join(n.select(F.col("fp").alias("b"), F.col("size").alias("nb")), "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        )
-        of_a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
-        of_b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return (
-            fits.join(of_b, "b").join(of_a, "a")
-            .where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
-            .select("a", "b")
-        )
+    sets = _full_sets(texts, width).join(sizes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = cut_lineage(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("items")))
 
-    _, labels = similar_links(shared, verify)
+    _, labels = similar_links(shared, lambda pairs: similar_pairs(pairs, sets, percent))
     named = classes.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").select(
         "fp", "rep", F.coalesce("label", "fp").alias("label")
     )

@@ -32,6 +32,28 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``(a, b)``, those with ``100 * |A & B| >= percent * |A | B|``, from ``sets (v, items)``.
+
+    Sizes decide first; only the sets of what is left, by a bitmap of their vertices, are shuffled.
+    """
+    n = sets.select("v", F.size("items").alias("n"))
+    fits = cut_lineage(
+        pairs.join(n.select(F.col("v").alias("a"), F.col("n").alias("na")), "a")
+        .join(n.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
+        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    )
+    bitmap = key_bitmap(F.xxhash64("v"), fits.select(F.explode(F.array("a", "b")).alias("v")))
+    used = keep_known(sets.select("v", "items"), F.xxhash64("v"), bitmap)
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    return (
+        fits.join(used.select(F.col("v").alias("b"), F.col("items").alias("items_b")), "b")
+        .join(used.select(F.col("v").alias("a"), F.col("items").alias("items_a")), "a")
+        .where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
+        .select("a", "b")
+    )
+
+
 def shared_buckets(members: DataFrame) -> DataFrame:
     """``(key, v, n, weight)`` of the buckets with two or more members, from ``(key, v)``.
 
