@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 from ..sources.scratch import cut_lineage
 from .batches import append_columns, raw_texts
 from .prefilter import flag_known, keep_known, key_bitmap
-from .stars import shared_buckets, similar_links, similar_pairs
+from .stars import shared_buckets, similar_links
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -165,7 +165,7 @@ def near_duplicates(
     sets = _full_sets(texts, width).join(sizes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     sets = cut_lineage(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("items")))
 
-    _, labels = similar_links(shared, lambda pairs: similar_pairs(pairs, sets, percent))
+    _, labels = similar_links(shared, sets, percent)
     named = classes.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").select(
         "fp", "rep", F.coalesce("label", "fp").alias("label")
     )

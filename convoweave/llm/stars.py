@@ -2,18 +2,17 @@
 
 A bucket's centre is the member that shares buckets with the most others: in a
 group of near copies that is the text they were copied from, whichever band is looked at.
-All members are compared with the centre. As long as a bucket still holds
-members of different components, members outside the centre's component become centres in
-turn, a growing number each round, and are compared with whoever is not yet in their
-component. So every pair of a bucket is either compared or already connected, while
-a group of similar members costs one comparison for each.
+All members are compared with the centre. Members that turn out to be far from it can
+still be near each other; they then share an item that the centre lacks, and even one of the first
+such items in a fixed order (a set that misses at most ``1 - t`` of another's items holds one of any
+``(1 - t) n + 1`` of them). So those items are buckets of the next level, with the members that
+hold them, and the same is done again. A group of similar members costs one comparison for each,
+and what does not belong to it moves into small buckets, which are compared pair by pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut_lineage
@@ -22,8 +21,8 @@ from .prefilter import keep_known, key_bitmap
 
 # Buckets of up to so many members are compared pair by pair at once.
 SMALL_BUCKET = 6
-# New centres of a bucket in the first round after the stars; eight times more in each next.
-NEW_CENTRES = 16
+# Bands, then the items that centres lack, twice.
+LEVELS = 3
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -75,52 +74,55 @@ def _small_pairs(shared: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.expr("slice(vs, i + 2, size(vs))")).alias("b"))
 
 
-def similar_links(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], *, link: Callable[[DataFrame], DataFrame] = components
-) -> tuple[DataFrame, DataFrame]:
-    """``(links, labels)``: verified links ``(a, b)`` and the components they make.
+def _next_buckets(starred: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets ``(key, v, n, weight)`` of items that a centre lacks, where a member is not yet in its component."""
+    of_v = labels.select("v", F.col("label").alias("own"))
+    of_c = labels.select(F.col("v").alias("c"), F.col("label").alias("main"))
+    marked = cut_lineage(
+        starred.join(of_v, "v", "left").join(of_c, "c", "left").select(
+            "c", "v", F.coalesce("own", "v").alias("own"), (F.coalesce("own", "v") != F.coalesce("main", "c")).alias("apart")
+        )
+    )
+    marked = cut_lineage(marked.join(marked.where("apart").select("c").distinct(), "c", "left_semi"))
+    bitmap = key_bitmap(F.xxhash64("v"), marked.select(F.explode(F.array("c", "v")).alias("v")))
+    used = keep_known(sets, F.xxhash64("v"), bitmap)
+    lacking = (
+        marked.join(used, "v")
+        .join(used.select(F.col("v").alias("c"), F.col("items").alias("items_c")), "c")
+        .withColumn("first", F.floor(F.size("items") * (100 - percent) / 100).cast("int") + 1)
+        .withColumn("rest", F.sort_array(F.array_except("items", "items_c")))
+        .select("c", "v", "own", "apart", F.explode(F.slice("rest", F.lit(1), F.col("first"))).alias("item"))
+    )
+    rows = cut_lineage(lacking.select(F.xxhash64("c", "item").alias("key"), "v", "own", "apart").distinct())
+    mixed = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi"), F.bool_or("apart").alias("apart")
+    ).where((F.col("lo") != F.col("hi")) & F.col("apart"))
+    found = cut_lineage(rows.join(mixed.select("key", "n"), "key").select("key", "v", "n"))
+    weights = found.groupBy("v").agg(F.sum("n").alias("weight"))
+    return cut_lineage(found.join(weights, "v").select("key", "v", "n", "weight"))
+
+
+def similar_links(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(links, labels)``: the similar pairs ``(a, b)`` found in buckets, and the components they make.
 
-    ``verify`` keeps the pairs ``(a, b)`` that are similar. A bucket's members are never gathered:
-    centres come from partial aggregates, comparisons from joins on the bucket.
+    ``shared`` comes from ``shared_buckets``, ``sets (v, items)`` has the items of all its members. A bucket's
+    members are never gathered: centres come from partial aggregates, comparisons from joins on the bucket.
     """
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    rank = F.struct(F.col("weight"), F.col("v"))
-    centre = large.groupBy("key").agg(F.max_by("v", rank).alias("c"))
-    starred = large.join(centre, "key")
-    pairs = _small_pairs(shared).union(starred.select(F.col("c").alias("a"), F.col("v").alias("b")))
-    links = cut_lineage(verify(_ordered(pairs)))
-    labels = cut_lineage(link(links))
-    rest = starred.where(F.col("v") != F.col("c"))
-    centres = NEW_CENTRES
-    while True:
-        own = labels.select("v", F.col("label").alias("own"))
-        of_centre = labels.select(F.col("v").alias("c"), F.col("label").alias("main"))
-        labelled = (
-            rest.join(own, "v", "left").join(of_centre, "c", "left")
-            .withColumn("own", F.coalesce("own", "v"))
-            .withColumn("main", F.coalesce("main", "c"))
-        )
-        mixed = (
-            labelled.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
-            .where(F.col("lo") != F.col("hi")).select("key")
-        )
-        open_ = cut_lineage(labelled.join(mixed, "key", "left_semi"))
-        if open_.isEmpty():
-            return links, labels
-        # Members outside the component of the bucket's first centre come first. They are spread over
-        # parts before they are ranked, so that no bucket is sorted in one task.
-        outside = open_.where(F.col("own") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
-        best = Window.partitionBy("key", "part").orderBy(F.desc("weight"), "v")
-        heads = outside.withColumn("i", F.row_number().over(best)).where(F.col("i") <= centres)
-        best = Window.partitionBy("key").orderBy(F.desc("weight"), "v")
-        chosen = heads.withColumn("i", F.row_number().over(best)).where(F.col("i") <= centres)
-        chosen = cut_lineage(chosen.select("key", F.col("v").alias("d"), F.col("own").alias("d_own")))
-        compared = open_.join(chosen, "key").where(F.col("own") != F.col("d_own"))
-        pairs = _ordered(compared.select(F.col("d").alias("a"), F.col("v").alias("b")))
-        more = cut_lineage(verify(pairs))
-        if not more.isEmpty():
-            links = cut_lineage(links.union(more))
-            labels = cut_lineage(link(links))
-        used = chosen.select("key", F.col("d").alias("v"))
-        rest = open_.select("key", "v", "n", "weight", "c").join(used, ["key", "v"], "left_anti")
-        centres *= 8
+    links = None
+    for level in range(LEVELS):
+        large = shared.where(F.col("n") > SMALL_BUCKET)
+        rank = F.struct(F.col("weight"), F.col("v"))
+        centre = large.groupBy("key").agg(F.max_by("v", rank).alias("c"))
+        starred = large.join(centre, "key").where(F.col("v") != F.col("c")).select("c", "v").distinct()
+        starred = cut_lineage(starred)
+        pairs = _small_pairs(shared).union(starred.select(F.col("c").alias("a"), F.col("v").alias("b")))
+        more = cut_lineage(similar_pairs(_ordered(pairs), sets, percent))
+        if links is None or not more.isEmpty():
+            links = more if links is None else cut_lineage(links.union(more).distinct())
+            labels = cut_lineage(components(links))
+        if level + 1 == LEVELS or starred.isEmpty():
+            break
+        shared = _next_buckets(starred, labels, sets, percent)
+        if shared.isEmpty():
+            break
+    return links, labels

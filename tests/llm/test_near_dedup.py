@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from convoweave.llm.components import components
 from convoweave.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_set, signature
@@ -87,7 +88,15 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_a_bucket_of_unlike_members_loses_no_link(spark):
-    # One bucket of 30: five groups of six that only know their own.
-    members = spark.createDataFrame([(1, i) for i in range(30)], "key bigint, v bigint")
-    labels = similar_links(shared_buckets(members), lambda p: p.where("a % 5 = b % 5"))[1]
-    assert {r.v: r.label for r in labels.collect()} == {i: i % 5 for i in range(30)}
+    # One bucket of 30: five groups of six that only know their own; and a hub whose 20 copies hide a pair.
+    items = lambda i: [1000 * (i % 5) + k for k in range(20)] + [10_000 + i]
+    sets = [(i, items(i)) for i in range(30)]
+    hub = list(range(50_000, 50_100))
+    sets += [(100, hub)] + [(101 + i, [x + 1_000_000 * (i + 1) if x % 23 == i else x for x in hub]) for i in range(20)]
+    far = [x + 7_000_000_000 if x % 4 == 0 else x for x in hub]
+    sets += [(200, far), (201, [x + 1 if x == far[4] else x for x in far])]
+    df = spark.createDataFrame(sets, "v bigint, items array<bigint>")
+    members = df.select(F.when(F.col("v") < 100, 1).otherwise(2).cast("bigint").alias("key"), "v")
+    labels = similar_links(shared_buckets(members), df, 80)[1]
+    expected = {i: i % 5 for i in range(30)} | {100 + i: 100 for i in range(21)} | {200: 200, 201: 200}
+    assert {r.v: r.label for r in labels.collect()} == expected
