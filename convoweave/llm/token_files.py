@@ -38,7 +38,7 @@ FORMAT = {
 _PLAIN = re.compile(rb"[a-z]+")
 
 # Chunks whose ids a worker remembers, and the longest of them in bytes.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
 CACHED_BYTES = 64
 
 # Turns raw texts into little-endian 32-bit ids, one bytes object per text.
