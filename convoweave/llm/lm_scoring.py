@@ -37,6 +37,8 @@ _EDGE = np.uint64(0x5851F42D4C957F2D)  # stands for the start and the end of a t
 PAIRS_PER_SEGMENT = 500_000
 LEVELS = 48
 PROBES = 4
+# Tokens that are looked up together.
+TOKENS_AT_ONCE = 1 << 18
 
 
 def lm_words(raw: bytes | None) -> list[bytes]:
@@ -46,8 +48,10 @@ def lm_words(raw: bytes | None) -> list[bytes]:
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
     """Hashes of (word, next word) from the start edge to the end edge; one more than words."""
-    before = np.concatenate([[_EDGE], words])
-    after = np.concatenate([words, [_EDGE]])
+    return _pair(np.append(_EDGE, words), np.append(words, _EDGE))
+
+
+def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return _mix(_mix(before * _GOLDEN + np.uint64(1)) + after)
 
 
@@ -236,10 +240,12 @@ def score_texts(
     shared = spark.sparkContext.broadcast(model)
     packed = pack_blocks(base, "_text", ["_id", "_held", "_train"])
     found = block_words(packed, lm_words, 3, counted=2)
-    totals = found.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("owner"))
-    answers = cut_lineage(
-        found.join(totals, "word").select("block", "i", "c", (F.col("owner") == F.col("block")).alias("owns"))
-    )
+    # Both sides read all columns of the words as dealt, so that they share one exchange.
+    totals = found.groupBy("word").agg(
+        F.sum("n").alias("c"), F.min("block").alias("owner"), F.max("i").alias("last")
+    ).where("last is not null")
+    joined = found.join(totals, "word").where("n <= c")  # always so
+    answers = cut_lineage(joined.select("block", "i", "c", (F.col("owner") == F.col("block")).alias("owns")))
     texts = base.agg(F.count_if("_train")).first()[0]
     words, kinds = answers.where("owns and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = words + texts, kinds + (texts > 0)
@@ -256,19 +262,38 @@ def score_texts(
         hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
         estimate = (count + 0.5) / bottom
         log_estimate = np.log10(estimate)
+        end = len(vocabulary)
+        edged = np.append(hashed, _EDGE)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for raw in raws:
-            at = np.fromiter(map(number.__getitem__, lm_words(raw)), np.int64)
-            tokens = np.append(at, len(vocabulary))
-            pair = filter_.counts(pair_hashes(hashed[at]))
-            before = np.append(texts, count[at])
+
+        def score(docs_: list[np.ndarray]) -> None:
+            # Texts in a row, each closed by an end, which is the start of the next one too.
+            tokens = np.concatenate(docs_)
+            sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
+            first = np.cumsum(sizes) - sizes
+            after = edged[tokens]
+            pair = filter_.counts(_pair(np.append(_EDGE, after[:-1]), after))
+            before = np.append(texts, count[tokens[:-1]])
             share = weight * before / (before + half)
             # A power of two stands for counts up to the next one; three quarters of that is their middle.
             seen = np.divide(np.minimum(pair * 1.5, before), before, out=np.zeros(len(tokens)), where=before > 0)
-            out["n_tokens"].append(len(tokens))
-            out["n_known"].append(int((count[tokens] > 0).sum()))
-            out["base_score"].append(math.fsum(log_estimate[tokens].tolist()))
-            out["score"].append(math.fsum(np.log10(share * seen + (1 - share) * estimate[tokens]).tolist()))
+            mixed = np.log10(share * seen + (1 - share) * estimate[tokens])
+            out["n_tokens"] += sizes.tolist()
+            out["n_known"] += np.add.reduceat((count[tokens] > 0).astype(np.int64), first).tolist()
+            out["base_score"] += np.add.reduceat(log_estimate[tokens], first).tolist()
+            out["score"] += np.add.reduceat(mixed, first).tolist()
+
+        waiting: list[np.ndarray] = []
+        held_tokens = 0
+        for raw in raws:
+            words_ = lm_words(raw)
+            waiting.append(np.append(np.fromiter(map(number.__getitem__, words_), np.int64, len(words_)), end))
+            held_tokens += len(words_) + 1
+            if held_tokens > TOKENS_AT_ONCE:
+                score(waiting)
+                waiting, held_tokens = [], 0
+        if waiting:
+            score(waiting)
         return pa.table(
             {
                 "doc_id": pa.array(ids, payload_type),

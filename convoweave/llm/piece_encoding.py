@@ -83,7 +83,9 @@ def encode_pieces(docs: DataFrame, model: str, *, text_col: str = "text", out: s
     packed = pack_blocks(plain, "_text", names)
     found = block_words(packed, piece_words, len(names), LATTICE_BYTES)
     space = F.replace(F.col("word").cast("string"), F.lit(" "), F.lit(SPACE))
-    words = found.select("word").distinct().withColumn("text", space)
+    # Reads all columns of the words as dealt, like the join below, so that both share one exchange.
+    once = found.groupBy("word").agg(F.max("block").alias("b"), F.max("i").alias("i"))
+    words = once.where("b is not null and i is not null").select("word").withColumn("text", space)
     answers = found.select("block", "i", "word").join(
         segment_words(words, pieces, piece_table(spark, pieces)), "word"
     ).select("block", "i", "ids")

@@ -82,15 +82,18 @@ def unpack(payloads: pa.ChunkedArray | pa.Array, n_carried: int) -> tuple[list[l
 
 def block_vocabulary(texts: list[bytes | None], words: Words, longest: int) -> list[bytes]:
     """The distinct words of a block in a fixed order; ``longest`` bounds their bytes."""
-    return sorted({w for raw in texts for w in words(raw) if len(w) <= longest})
+    found: set[bytes] = set()
+    for raw in texts:
+        found.update(words(raw))
+    return sorted(w for w in found if len(w) <= longest)
 
 
 def block_words(
     packed: DataFrame, words: Words, n_carried: int, longest: int = 1 << 30, counted: int | None = None
 ) -> DataFrame:
-    """``(block, i, word, n)``, dealt by word: word ``i`` of a block's vocabulary.
+    """``(block, i, word)``, dealt by word: word ``i`` of a block's vocabulary.
 
-    ``n`` counts its occurrences in the documents whose carried column ``counted`` is true.
+    With ``counted``, ``n`` counts its occurrences in the documents where that carried column is true.
     """
 
     def collect(table: pa.Table) -> pa.Table:
@@ -105,14 +108,14 @@ def block_words(
                 "block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int64()),
                 "i": pa.array(range(len(found)), pa.int32()),
                 "word": pa.array(found, pa.binary()),
-                "n": pa.array([counts[w] for w in found], pa.int64()),
             }
+            | ({} if counted is None else {"n": pa.array([counts[w] for w in found], pa.int64())})
         )
 
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         packed.groupBy("block")
-        .applyInArrow(collect, "block bigint, i int, word binary, n bigint")
+        .applyInArrow(collect, "block bigint, i int, word binary" + ("" if counted is None else ", n bigint"))
         .repartition(parts, "word")
     )
 

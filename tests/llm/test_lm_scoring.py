@@ -36,7 +36,7 @@ def check(rows, found, text_of):
         assert any(
             (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == o[:4] and math.isclose(r.base_score, o[4], rel_tol=1e-9) for o in options
         ), r
-        assert -1e9 < r.score < 0
+        assert -1e9 < r.score <= 0
 
 
 def test_counts_and_base_scores(spark, edges):
