@@ -2,12 +2,12 @@
 
 A bucket's centre is the member that shares buckets with the most others: in a
 group of near copies that is the text they were copied from, whichever band is looked at.
-All members are compared with the centre. Members that turn out to be far from it can
-still be near each other; they then share an item that the centre lacks, and even one of the first
-such items in a fixed order (a set that misses at most ``1 - t`` of another's items holds one of any
-``(1 - t) n + 1`` of them). So those items are buckets of the next level, with the members that
-hold them, and the same is done again. A group of similar members costs one comparison for each,
-and what does not belong to it moves into small buckets, which are compared pair by pair.
+All members are compared with the centre. Where they are not all in one component then, they are
+dealt into buckets by the first items of their whole sets, rarest first: two sets of similarity ``t``
+share one of any ``(1 - t) n + 1`` items in a fixed order. A pair of unlike components has a member outside
+the component that most of its bucket is in, so those members are the next centres, more of them each time;
+a member that was a centre is done. This is repeated until each bucket is in one component or
+all such members were centres, so no pair that shares a bucket goes unresolved.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .prefilter import keep_known, key_bitmap
 
 # Buckets of up to so many members are compared pair by pair at once.
 SMALL_BUCKET = 6
-# Bands, then the items that centres lack, twice.
-LEVELS = 3
+# Centres of a bucket after the first star, and how many times as many there are in each round.
+CENTRES, MORE = 8, 8
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -74,32 +74,40 @@ def _small_pairs(shared: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.expr("slice(vs, i + 2, size(vs))")).alias("b"))
 
 
-def _next_buckets(starred: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets ``(key, v, n, weight)`` of items that a centre lacks, where a member is not yet in its component."""
-    of_v = labels.select("v", F.col("label").alias("own"))
-    of_c = labels.select(F.col("v").alias("c"), F.col("label").alias("main"))
-    marked = cut_lineage(
-        starred.join(of_v, "v", "left").join(of_c, "c", "left").select(
-            "c", "v", F.coalesce("own", "v").alias("own"), (F.coalesce("own", "v") != F.coalesce("main", "c")).alias("apart")
-        )
+def _owned(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, v, own, n, most, others)`` of the buckets of several components, from ``(key, v)``.
+
+    ``most`` is the component that most of the ``n`` members are in, ``others`` are members outside it.
+    """
+    named = members.join(labels.select("v", F.col("label").alias("own")), "v", "left")
+    named = cut_lineage(named.select("key", "v", F.coalesce("own", "v").alias("own")))
+    groups = named.groupBy("key", "own").agg(F.count(F.lit(1)).alias("m"))
+    mixed = groups.groupBy("key").agg(
+        F.sum("m").alias("n"), F.max("m").alias("top"), F.max_by("own", F.struct("m", "own")).alias("most")
+    ).where(F.col("n") > F.col("top"))
+    mixed = cut_lineage(mixed.select("key", "n", "most", (F.col("n") - F.col("top")).alias("others")))
+    likely = keep_known(named, F.xxhash64("key"), key_bitmap(F.xxhash64("key"), mixed))
+    return cut_lineage(likely.join(mixed, "key").select("key", "v", "own", "n", "most", "others"))
+
+
+def _prefix_buckets(starred: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members ``(key, v)`` by the rarest items of their whole sets, where a star left several components."""
+    # The centre is in its bucket's component or not, but it is compared with all members already.
+    mixed = _owned(starred.select(F.col("c").alias("key"), "v"), labels).select("key", "v")
+    mixed = cut_lineage(mixed)
+    wanted = mixed.select("v").distinct()
+    used = keep_known(sets, F.xxhash64("v"), key_bitmap(F.xxhash64("v"), wanted)).join(wanted, "v", "left_semi")
+    held = cut_lineage(used.select("v", F.size("items").alias("size"), F.explode("items").alias("item")))
+    often = held.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Items of one set only come first and need no row; they count in the prefix.
+    ranked = held.join(often, "item").groupBy("v", "size").agg(
+        F.sort_array(F.collect_list(F.struct("often", "item"))).alias("ranked")
     )
-    marked = cut_lineage(marked.join(marked.where("apart").select("c").distinct(), "c", "left_semi"))
-    bitmap = key_bitmap(F.xxhash64("v"), marked.select(F.explode(F.array("c", "v")).alias("v")))
-    used = keep_known(sets, F.xxhash64("v"), bitmap)
-    lacking = (
-        marked.join(used, "v")
-        .join(used.select(F.col("v").alias("c"), F.col("items").alias("items_c")), "c")
-        .withColumn("first", F.floor(F.size("items") * (100 - percent) / 100).cast("int") + 1)
-        .withColumn("rest", F.sort_array(F.array_except("items", "items_c")))
-        .select("c", "v", "own", "apart", F.explode(F.slice("rest", F.lit(1), F.col("first"))).alias("item"))
+    first = F.floor((F.col("size") * (100 - percent)) / 100).cast("int") + 1 - (F.col("size") - F.size("ranked"))
+    prefix = cut_lineage(
+        ranked.select("v", F.explode(F.slice("ranked", F.lit(1), F.greatest(first, F.lit(0)))).alias("r")).select("v", "r.item")
     )
-    rows = cut_lineage(lacking.select(F.xxhash64("c", "item").alias("key"), "v", "own", "apart").distinct())
-    mixed = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi"), F.bool_or("apart").alias("apart")
-    ).where((F.col("lo") != F.col("hi")) & F.col("apart"))
-    found = cut_lineage(rows.join(mixed.select("key", "n"), "key").select("key", "v", "n"))
-    weights = found.groupBy("v").agg(F.sum("n").alias("weight"))
-    return cut_lineage(found.join(weights, "v").select("key", "v", "n", "weight"))
+    return mixed.join(prefix, "v").select(F.xxhash64("key", "item").alias("key"), "v").distinct()
 
 
 def similar_links(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -108,21 +116,34 @@ def similar_links(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     ``shared`` comes from ``shared_buckets``, ``sets (v, items)`` has the items of all its members. A bucket's
     members are never gathered: centres come from partial aggregates, comparisons from joins on the bucket.
     """
-    links = None
-    for level in range(LEVELS):
-        large = shared.where(F.col("n") > SMALL_BUCKET)
-        rank = F.struct(F.col("weight"), F.col("v"))
-        centre = large.groupBy("key").agg(F.max_by("v", rank).alias("c"))
-        starred = large.join(centre, "key").where(F.col("v") != F.col("c")).select("c", "v").distinct()
-        starred = cut_lineage(starred)
-        pairs = _small_pairs(shared).union(starred.select(F.col("c").alias("a"), F.col("v").alias("b")))
-        more = cut_lineage(similar_pairs(_ordered(pairs), sets, percent))
-        if links is None or not more.isEmpty():
-            links = more if links is None else cut_lineage(links.union(more).distinct())
+    large = shared.where(F.col("n") > SMALL_BUCKET)
+    rank = F.struct(F.col("weight"), F.col("v"))
+    centre = large.groupBy("key").agg(F.max_by("v", rank).alias("c"))
+    starred = large.join(centre, "key").where(F.col("v") != F.col("c")).select("c", "v").distinct()
+    starred = cut_lineage(starred)
+    pairs = _small_pairs(shared).union(starred.select(F.col("c").alias("a"), F.col("v").alias("b")))
+    links = cut_lineage(similar_pairs(_ordered(pairs), sets, percent))
+    labels = cut_lineage(components(links))
+    if starred.isEmpty():
+        return links, labels
+    left, centres = _owned(_prefix_buckets(starred, labels, sets, percent), labels), CENTRES
+    while not left.isEmpty():
+        outside = left.where(F.col("own") != F.col("most"))
+        # About so many by a hash, and one in any case.
+        chance = F.pmod(F.xxhash64("key", "v", F.lit(centres)), F.col("others")) < centres
+        one = outside.groupBy("key").agg(F.max("v").alias("c"))
+        chosen = cut_lineage(
+            outside.where(chance).select("key", F.col("v").alias("c"), F.col("own").alias("c_own"))
+            .union(outside.join(one, "key").where(F.col("v") == F.col("c")).select("key", "c", F.col("own").alias("c_own")))
+            .distinct()
+        )
+        pairs = left.join(chosen, "key").where(F.col("own") != F.col("c_own"))
+        more = cut_lineage(similar_pairs(_ordered(pairs.select(F.col("c").alias("a"), F.col("v").alias("b"))), sets, percent))
+        if not more.isEmpty():
+            links = cut_lineage(links.union(more).distinct())
             labels = cut_lineage(components(links))
-        if level + 1 == LEVELS or starred.isEmpty():
-            break
-        shared = _next_buckets(starred, labels, sets, percent)
-        if shared.isEmpty():
-            break
+        # Where all others were centres nothing is open.
+        rest = left.where(F.col("others") > centres).select("key", "v")
+        done = chosen.select("key", F.col("c").alias("v"))
+        left, centres = _owned(rest.join(done, ["key", "v"], "left_anti"), labels), centres * MORE
     return links, labels
