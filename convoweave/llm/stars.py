@@ -12,13 +12,17 @@ all such members were centres, so no pair that shares a bucket goes unresolved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut_lineage
 from .components import components
 from .prefilter import keep_known, key_bitmap
 
+Unfold = Callable[[Column], Column]
+
 # Buckets of up to so many members are compared pair by pair at once.
 SMALL_BUCKET = 6
 # Centres of a bucket after the first star, and how many times as many there are in each round.
@@ -31,12 +35,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``(a, b)``, those with ``100 * |A & B| >= percent * |A | B|``, from ``sets (v, items)``.
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, unfold: Unfold) -> DataFrame:
+    """Of ``(a, b)``, those with ``100 * |A & B| >= percent * |A | B|``, from ``sets (v, items, n)``.
 
     Sizes decide first; only the sets of what is left, by a bitmap of their vertices, are shuffled.
     """
-    n = sets.select("v", F.size("items").alias("n"))
+    n = sets.select("v", "n")
     fits = cut_lineage(
         pairs.join(n.select(F.col("v").alias("a"), F.col("n").alias("na")), "a")
         .join(n.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
@@ -44,11 +48,11 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     bitmap = key_bitmap(F.xxhash64("v"), fits.select(F.explode(F.array("a", "b")).alias("v")))
     used = keep_known(sets.select("v", "items"), F.xxhash64("v"), bitmap)
-    both = F.size(F.array_intersect("items_a", "items_b"))
+    both = F.size(F.array_intersect(unfold(F.col("items_a")), unfold(F.col("items_b"))))
     return (
         fits.join(used.select(F.col("v").alias("b"), F.col("items").alias("items_b")), "b")
         .join(used.select(F.col("v").alias("a"), F.col("items").alias("items_a")), "a")
-        .where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
+        .where((100 + percent) * both >= percent * (F.col("na") + F.col("nb")))
         .select("a", "b")
     )
 
@@ -90,14 +94,14 @@ def _owned(members: DataFrame, labels: DataFrame) -> DataFrame:
     return cut_lineage(likely.join(mixed, "key").select("key", "v", "own", "n", "most", "others"))
 
 
-def _prefix_buckets(starred: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_buckets(starred: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, unfold: Unfold) -> DataFrame:
     """Members ``(key, v)`` by the rarest items of their whole sets, where a star left several components."""
     # The centre is in its bucket's component or not, but it is compared with all members already.
     mixed = _owned(starred.select(F.col("c").alias("key"), "v"), labels).select("key", "v")
     mixed = cut_lineage(mixed)
     wanted = mixed.select("v").distinct()
     used = keep_known(sets, F.xxhash64("v"), key_bitmap(F.xxhash64("v"), wanted)).join(wanted, "v", "left_semi")
-    held = cut_lineage(used.select("v", F.size("items").alias("size"), F.explode("items").alias("item")))
+    held = cut_lineage(used.select("v", F.col("n").alias("size"), F.explode(F.array_distinct(unfold(F.col("items")))).alias("item")))
     often = held.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Items of one set only come first and need no row; they count in the prefix.
     ranked = held.join(often, "item").groupBy("v", "size").agg(
@@ -110,23 +114,28 @@ def _prefix_buckets(starred: DataFrame, labels: DataFrame, sets: DataFrame, perc
     return mixed.join(prefix, "v").select(F.xxhash64("key", "item").alias("key"), "v").distinct()
 
 
-def similar_links(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def similar_links(
+    shared: DataFrame, sets: DataFrame, percent: int, unfold: Unfold = lambda items: items
+) -> tuple[DataFrame, DataFrame]:
     """``(links, labels)``: the similar pairs ``(a, b)`` found in buckets, and the components they make.
 
-    ``shared`` comes from ``shared_buckets``, ``sets (v, items)`` has the items of all its members. A bucket's
-    members are never gathered: centres come from partial aggregates, comparisons from joins on the bucket.
+    ``shared`` comes from ``shared_buckets``, ``sets (v, items)`` has the items of all its members, or
+    what ``unfold`` makes them of, with their number ``n``. A bucket's members are never gathered: centres come
+    from partial aggregates, comparisons from joins on the bucket.
     """
+    if "n" not in sets.columns:
+        sets = sets.withColumn("n", F.size("items"))
     large = shared.where(F.col("n") > SMALL_BUCKET)
     rank = F.struct(F.col("weight"), F.col("v"))
     centre = large.groupBy("key").agg(F.max_by("v", rank).alias("c"))
     starred = large.join(centre, "key").where(F.col("v") != F.col("c")).select("c", "v").distinct()
     starred = cut_lineage(starred)
     pairs = _small_pairs(shared).union(starred.select(F.col("c").alias("a"), F.col("v").alias("b")))
-    links = cut_lineage(similar_pairs(_ordered(pairs), sets, percent))
+    links = cut_lineage(similar_pairs(_ordered(pairs), sets, percent, unfold))
     labels = cut_lineage(components(links))
     if starred.isEmpty():
         return links, labels
-    left, centres = _owned(_prefix_buckets(starred, labels, sets, percent), labels), CENTRES
+    left, centres = _owned(_prefix_buckets(starred, labels, sets, percent, unfold), labels), CENTRES
     while not left.isEmpty():
         outside = left.where(F.col("own") != F.col("most"))
         # About so many by a hash, and one in any case.
@@ -138,7 +147,7 @@ def similar_links(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
             .distinct()
         )
         pairs = left.join(chosen, "key").where(F.col("own") != F.col("c_own"))
-        more = cut_lineage(similar_pairs(_ordered(pairs.select(F.col("c").alias("a"), F.col("v").alias("b"))), sets, percent))
+        more = cut_lineage(similar_pairs(_ordered(pairs.select(F.col("c").alias("a"), F.col("v").alias("b"))), sets, percent, unfold))
         if not more.isEmpty():
             links = cut_lineage(links.union(more).distinct())
             labels = cut_lineage(components(links))
