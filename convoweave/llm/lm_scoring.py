@@ -5,8 +5,9 @@ its words). Pairs of neighbouring tokens are counted by 64-bit hashes, pre-aggre
 where they are read and summed by segments of the hash space. A pair seen ``c`` times has level
 ``1 + floor(log2 c)``, and the filter holds the pair with each level from the first up to its own;
 probing level after level until one is missing gives the count back, up to its power
-of two. Pairs below ``min_count`` are left out; the filter has a fixed number of bits for each
-entry, and where that would pass ``max_filter_bytes``, which bounds the broadcast, ``min_count`` is doubled.
+of two. Pairs below ``min_count`` are left out, at any size of the corpus; the filter has a fixed number of
+bits for each entry, so it grows with the counted pairs. It is never whole in one place: texts are scored against
+blocks of its segments, ``block_bytes`` of each broadcast, and the terms of the tokens whose pair belongs to a block are summed.
 
 A token's probability mixes the pair estimate and the smoothed word estimate
 ``(c + 0.5) / (N + 0.5 (V + 1))``; the weight of the pair grows with the count of the word before it.
@@ -15,12 +16,14 @@ A token's probability mixes the pair estimate and the smoothed word estimate
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +64,25 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filter:
-    """Bits in segments of equal size; a pair's segment comes from the upper half of its hash."""
+    """Bits in segments of equal size; a pair's segment comes from the upper half of its hash.
 
-    bits: np.ndarray  # [segments, bytes of a segment]
+    Holds ``segments`` in all, or those from ``start`` on that ``bits`` has rows for.
+    """
+
+    bits: np.ndarray  # [segments held, bytes of a segment]
+    start: int = 0
+    segments: int | None = None
+
+    def owns(self, hashes: np.ndarray) -> np.ndarray:
+        """Which pairs belong to the segments held."""
+        if self.segments is None:
+            return np.ones(len(hashes), bool)
+        at = segment_of(hashes, self.segments) - self.start
+        return (at >= 0) & (at < len(self.bits))
 
     def has(self, hashes: np.ndarray, level: int) -> np.ndarray:
-        segments, width = self.bits.shape
-        segment = segment_of(hashes, segments)
+        held, width = self.bits.shape
+        segment = segment_of(hashes, self.segments or held) - self.start
         found = np.ones(len(hashes), bool)
         for at in positions(hashes, level, width * 8):
             found &= (self.bits[segment, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -98,7 +113,7 @@ def positions(hashes: np.ndarray, level: int, n_bits: int) -> Iterator[np.ndarra
         yield ((one + np.uint64(k) * step) % np.uint64(n_bits)).astype(np.int64)
 
 
-def _segment_counts(texts: DataFrame, segments: int) -> DataFrame:
+def _segment_counts(texts: DataFrame, segments: int, least: int) -> DataFrame:
     """``(segment, hashes, counts)``: the pairs of all texts, summed; one row a segment.
 
     A map task sends each segment its distinct pairs of a slice as one compressed row.
@@ -151,7 +166,7 @@ def _segment_counts(texts: DataFrame, segments: int) -> DataFrame:
         all_hashes, all_counts = all_hashes[order], all_counts[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], all_hashes[1:] != all_hashes[:-1]]))
         sums = np.add.reduceat(all_counts, first)
-        often = sums > 1
+        often = sums >= least
         levels = np.bincount(_levels(sums), minlength=LEVELS + 1)
         return pa.table(
             {
@@ -169,48 +184,77 @@ def _segment_counts(texts: DataFrame, segments: int) -> DataFrame:
     )
 
 
-def build_filter(
-    texts: DataFrame, *, text_col: str = "text", min_count: int = 2, bits_per_entry: int = 10, max_filter_bytes: int = 64 << 20
-) -> Filter:
-    """Count all pairs of all texts and set the bits of those seen ``min_count`` times (2 at least)."""
+@dataclass(frozen=True)
+class PairCounts:
+    """Counted pairs in shared storage, by segment, and how many there are of each level."""
+
+    counted: DataFrame  # (segment, hashes, counts)
+    segments: int
+    per_level: dict[int, int]
+    least: int
+    bits_per_entry: int
+
+    def entries(self, least: int) -> int:
+        return sum(n * level for level, n in self.per_level.items() if level > math.log2(least))
+
+    def width(self, least: int) -> int:
+        """Bytes of a segment."""
+        return max(1, -(-self.entries(least) * self.bits_per_entry // (8 * self.segments)))
+
+    def block(self, start: int, stop: int, least: int | None = None) -> Filter:
+        """The filter's segments from ``start`` to ``stop``, gathered on the driver."""
+        least = least or self.least
+        width = self.width(least)
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = []
+                for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
+                    hashes, counts = np.frombuffer(h, np.uint64), np.frombuffer(c, "<u4")
+                    hashes, level = hashes[counts >= least], _levels(counts[counts >= least])
+                    row = np.zeros(width * 8, bool)
+                    for j in range(1, int(level.max(initial=0)) + 1):
+                        for at in positions(hashes[level >= j], j, width * 8):
+                            row[at] = True
+                    bits.append(np.packbits(row, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], names=["segment", "bits"])
+
+        filled = np.zeros((stop - start, width), np.uint8)
+        part = self.counted.where(F.col("segment").between(start, stop - 1)).select("segment", "hashes", "counts")
+        for row in part.mapInArrow(fill, "segment bigint, bits binary").toLocalIterator():
+            filled[row.segment - start] = np.frombuffer(row.bits, np.uint8)
+        return Filter(filled, start, self.segments)
+
+
+def count_pairs(texts: DataFrame, *, text_col: str = "text", min_count: int = 2, bits_per_entry: int = 10) -> PairCounts:
+    """Count all pairs of all texts and keep those seen ``min_count`` times."""
     plain = texts.select(F.col(text_col).cast("string").alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About seven bytes a word; segments are counted by the size of the corpus.
     segments = max(16, min(1 << 20, total // (7 * PAIRS_PER_SEGMENT)))
-    counted = cut_lineage(_segment_counts(plain, segments))
+    least = max(1, min_count)
+    counted = cut_lineage(_segment_counts(plain, segments, least))
     histogram = counted.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
-    per_level = {r.level: r.n for r in histogram.collect()}
-    least = max(2, min_count)
+    return PairCounts(counted, segments, {r.level: r.n for r in histogram.collect()}, least, bits_per_entry)
 
-    def entries(floor: int) -> int:
-        return sum(n * level for level, n in per_level.items() if level > math.log2(floor))
 
-    while entries(least) * bits_per_entry > 8 * max_filter_bytes:
+def build_filter(
+    texts: DataFrame, *, text_col: str = "text", min_count: int = 2, bits_per_entry: int = 10, max_filter_bytes: int | None = None
+) -> Filter:
+    """The whole filter on the driver, for corpora where it fits; ``score_texts`` takes it in blocks instead.
+
+    Only where a caller bounds it by ``max_filter_bytes`` is ``min_count`` doubled until it fits.
+    """
+    pairs = count_pairs(texts, text_col=text_col, min_count=min_count, bits_per_entry=bits_per_entry)
+    least = pairs.least
+    while max_filter_bytes is not None and pairs.entries(least) * bits_per_entry > 8 * max_filter_bytes:
         least *= 2
-    width = max(1, -(-entries(least) * bits_per_entry // (8 * segments)))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = []
-            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-                hashes, counts = np.frombuffer(h, np.uint64), np.frombuffer(c, "<u4")
-                hashes, level = hashes[counts >= least], _levels(counts[counts >= least])
-                row = np.zeros(width * 8, bool)
-                for j in range(1, int(level.max(initial=0)) + 1):
-                    for at in positions(hashes[level >= j], j, width * 8):
-                        row[at] = True
-                bits.append(np.packbits(row, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], names=["segment", "bits"])
-
-    filled = np.zeros((segments, width), np.uint8)
-    for row in counted.select("segment", "hashes", "counts").mapInArrow(fill, "segment bigint, bits binary").collect():
-        filled[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return Filter(filled if entries(least) else np.zeros((0, 0), np.uint8))
+    return pairs.block(0, pairs.segments, least) if pairs.entries(least) else Filter(np.zeros((0, 0), np.uint8))
 
 
 SCHEMA = (
     "doc_id {id}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-    "base_score double, score double"
+    "base_score double, score double, _row binary"
 )
 
 
@@ -222,22 +266,25 @@ def score_texts(
     text_col: str = "text",
     weight: float = 0.5,
     half: float = 200.0,
-    **filter_options,
+    block_bytes: int = 64 << 20,
+    **count_options,
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of all texts.
 
     Learns from the rows where ``held_out_col`` is false (null counts as true). Tokens are the words and
     one end. ``base_score`` is the sum of log10 of the smoothed word estimates, ``score`` that of the
     mixture; ``weight * c / (c + half)`` is the weight of the pair after a word seen ``c`` times.
-    A null or empty text is one end. Rows with one id are scored each.
+    A null or empty text is one end. Rows with one id are scored each. All pairs of ``min_count`` count; the filter
+    is broadcast in blocks of ``block_bytes`` (one segment at least), with a pass over the texts for each block.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.col(held_out_col), F.lit(True))
     base = docs.select(
         F.col(id_col).alias("_id"), held.alias("_held"), (~held).alias("_train"), F.col(text_col).cast("string").alias("_text")
     )
-    model = build_filter(base.where("_train").select(F.col("_text").alias("text")), **filter_options)
-    shared = spark.sparkContext.broadcast(model)
+    pairs = count_pairs(base.where("_train").select(F.col("_text").alias("text")), **count_options)
+    step = max(1, min(pairs.segments, block_bytes // pairs.width(pairs.least)))
+    starts = list(range(0, pairs.segments, step)) if pairs.entries(pairs.least) else []
     packed = pack_blocks(base, "_text", ["_id", "_held", "_train"])
     found = block_words(packed, lm_words, 3, counted=2)
     # Both sides read all columns of the words as dealt, so that they share one exchange.
@@ -251,7 +298,7 @@ def score_texts(
     n_all, v_all = words + texts, kinds + (texts > 0)
     bottom = n_all + 0.5 * (v_all + 1)
 
-    def finish(payloads: pa.Table, known: pa.Table) -> pa.Table:
+    def finish(shared: Broadcast, payloads: pa.Table, known: pa.Table) -> pa.Table:
         filter_ = shared.value
         (ids, held_out, _), raws = unpack(payloads.column("payload"), 3)
         vocabulary = block_vocabulary(raws, lm_words, 1 << 30)
@@ -272,12 +319,15 @@ def score_texts(
             sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
             first = np.cumsum(sizes) - sizes
             after = edged[tokens]
-            pair = filter_.counts(_pair(np.append(_EDGE, after[:-1]), after))
+            hashes = _pair(np.append(_EDGE, after[:-1]), after)
+            owned = filter_.owns(hashes)
+            pair = np.zeros(len(tokens))
+            pair[owned] = filter_.counts(hashes[owned])
             before = np.append(texts, count[tokens[:-1]])
             share = weight * before / (before + half)
             # A power of two stands for counts up to the next one; three quarters of that is their middle.
             seen = np.divide(np.minimum(pair * 1.5, before), before, out=np.zeros(len(tokens)), where=before > 0)
-            mixed = np.log10(share * seen + (1 - share) * estimate[tokens])
+            mixed = np.where(owned, np.log10(share * seen + (1 - share) * estimate[tokens]), 0.0)
             out["n_tokens"] += sizes.tolist()
             out["n_known"] += np.add.reduceat((count[tokens] > 0).astype(np.int64), first).tolist()
             out["base_score"] += np.add.reduceat(log_estimate[tokens], first).tolist()
@@ -303,6 +353,9 @@ def score_texts(
                 "train_tokens": pa.array([n_all] * len(ids), pa.int64()),
                 "base_score": pa.array(out["base_score"], pa.float64()),
                 "score": pa.array(out["score"], pa.float64()),
+                "_row": pa.array(
+                    [xxhash.xxh3_128_digest(repr((i, h, raw)).encode()) for i, h, raw in zip(ids, held_out, raws)], pa.binary()
+                ),
             }
         )
 
@@ -310,5 +363,44 @@ def score_texts(
     from pyspark.sql.pandas.types import to_arrow_type
 
     payload_type = to_arrow_type(id_type)
-    done = finish_blocks(packed, answers.select("block", "i", "c"), finish, SCHEMA.format(id=id_type.simpleString()))
-    return done.withColumnRenamed("doc_id", id_col)
+    schema = SCHEMA.format(id=id_type.simpleString())
+    whole = Filter(np.zeros((0, 0), np.uint8))
+    if len(starts) > 1:
+        # Packed once for all passes.
+        packed = cut_lineage(packed)
+    passes = []
+    for start in starts or [None]:
+        model = whole if start is None else pairs.block(start, min(start + step, pairs.segments))
+        shared = spark.sparkContext.broadcast(model)
+        done = finish_blocks(packed, answers.select("block", "i", "c"), _bound(finish, shared), schema)
+        if len(starts) < 2:
+            return done.drop("_row").withColumnRenamed("doc_id", id_col)
+        # Written at once, so that one block of the filter is held at a time.
+        passes.append(cut_lineage(done))
+        shared.destroy()
+    return _summed(passes).withColumnRenamed("doc_id", id_col)
+
+
+def _bound(finish: Callable[..., pa.Table], shared: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def bound(payloads: pa.Table, known: pa.Table) -> pa.Table:
+        return finish(shared, payloads, known)
+
+    return bound
+
+
+def _summed(passes: list[DataFrame]) -> DataFrame:
+    """One row for each row of a pass, with the scores of all passes added up.
+
+    Rows that are equal in id, text and ``held_out`` have equal scores: a pass counts them.
+    """
+    same = ["_row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    per_pass = [
+        p.groupBy(*same[:1]).agg(*[F.first(c).alias(c) for c in same[1:]], F.first("score").alias("score"), F.count(F.lit(1)).alias("_n"))
+        for p in passes
+    ]
+    every = reduce(DataFrame.union, per_pass)
+    summed = every.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in same[1:]], F.sum("score").alias("score"), F.first("_n").alias("_n")
+    )
+    copies = summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return copies.select(*same[1:], "score")
