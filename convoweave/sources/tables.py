@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 from ..spec import Member
 
 FORMATS = ("parquet", "json", "csv")
+# More values than that and a column is no split column.
+MAX_SPLITS = 1000
 
 
 def dataset_path(
@@ -45,18 +47,22 @@ def load_dataset(
     split_column: str = "split",
     options: Mapping[str, str] | None = None,
     schema: str | StructType | None = None,
-) -> dict[str, DataFrame]:
+) -> dict[str | None, DataFrame]:
     """All splits of a dataset, as they are: nothing sampled, filtered or shuffled.
 
     Splits are the values of the partition column; finding them reads no data
-    column. Data without that column is one ``train`` split.
+    column. Data without that column is one ``train`` split. Rows without a value are the
+    split ``None``, the last one. More than ``MAX_SPLITS`` values are refused.
     """
     df = read_table(spark, dataset_path(root, name, config), format, options, schema)
     if split_column not in df.columns:
         return {"train": df}
-    names = sorted(row[0] for row in df.select(split_column).distinct().collect())
+    names = [row[0] for row in df.select(split_column).distinct().limit(MAX_SPLITS + 1).collect()]
+    if len(names) > MAX_SPLITS:
+        raise ValueError(f"column {split_column!r} of {name!r} has more than {MAX_SPLITS} values, so it names no splits")
     return {
-        split: df.where(F.col(split_column) == split).drop(split_column) for split in names
+        split: df.where(F.col(split_column).eqNullSafe(F.lit(split))).drop(split_column)
+        for split in sorted(names, key=lambda s: (s is None, s))
     }
 
 
