@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from plan_checks import MESSAGES  # noqa: E402
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -31,9 +33,6 @@ def sf_dir():
     return SF
 
 
-MESSAGES = "array<struct<role:string,content:string>>"
-
-
 @pytest.fixture(scope="session")
 def chats(spark):
     """Frame of conversations from lists of (role, content) pairs."""
@@ -46,7 +45,3 @@ def chats(spark):
         return spark.createDataFrame(rows, f"id bigint, {name} {MESSAGES}")
 
     return make
-
-
-def plan_text(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

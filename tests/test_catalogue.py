@@ -89,7 +89,7 @@ def test_status_of_each_run(status):
 
 
 def test_without_lookup_no_join_is_planned(listing, configs):
-    from conftest import plan_text
+    from plan_checks import plan_text
 
     df = cw.run_status(listing, configs)
     assert {r.published_status for r in df.collect()} == {"skipped"}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import convoweave as cw
 from convoweave.sources.contracts import SPLIT_NAMES
 
-from conftest import plan_text
+from plan_checks import plan_text
 
 ONE = {"messages": "array(struct('user' AS role, content AS content))"}
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from conftest import plan_text
+from plan_checks import plan_text
 from convoweave_queries import oracle, spark_queries
 
 TABLES = (

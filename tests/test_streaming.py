@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import convoweave as cw
 from convoweave.streaming.rows import run_available, stream_member, stream_table, stream_text
 
-from conftest import MESSAGES
+from plan_checks import MESSAGES
 
 EOS = "</s>"
 

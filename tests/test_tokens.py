@@ -54,7 +54,7 @@ def test_truncation_keeps_the_first_tokens(spark):
 
 
 def test_tokens_are_computed_once_per_row(spark):
-    from conftest import plan_text
+    from plan_checks import plan_text
 
     df = spark.range(3).select(F.col("id").cast("string").alias("text"))
     plan = plan_text(cw.truncate_tokens(df, 2, eos=EOS))
