@@ -82,3 +82,66 @@ least_ AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN size USING (doc_id) JOIN least_ USING (doc_id)
 """
+
+ORACLE["op12_manifest"] = r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, lang, crc32_fold, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM (SELECT *, xor(4294967295, list_reduce(
+          list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+          lambda crc, byte: list_reduce(range(0, 8),
+            lambda a, _: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)),
+          4294967295)) % 3 AS crc32_fold FROM documents)),
+leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc32_fold = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed
+  FROM field),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM leaf),
+tree AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1,
+         list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1 : i + 8], '')))
+  FROM tree WHERE len(nodes) > 1),
+sub AS (
+  SELECT lang, nodes[1] AS subroot, level AS height,
+         row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+  FROM tree WHERE len(nodes) = 1),
+upper AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM sub
+  UNION ALL
+  SELECT level + 1,
+         list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1 : i + 8], '')))
+  FROM upper WHERE len(nodes) > 1),
+step AS (
+  SELECT doc_id, placed.pos AS id_pos, placed.lang, tree.level, nodes, pos // CAST(power(8, tree.level) AS BIGINT) AS i
+  FROM placed JOIN tree ON tree.lang IS NOT DISTINCT FROM placed.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, placed.pos, placed.lang, height + upper.level, upper.nodes, place // CAST(power(8, upper.level) AS BIGINT)
+  FROM placed JOIN sub ON sub.lang IS NOT DISTINCT FROM placed.lang, upper WHERE len(upper.nodes) > 1),
+side AS (
+  SELECT id_pos, lang, level,
+         array_to_string(nodes[i // 8 * 8 + 1 : i], '') AS lower,
+         array_to_string(nodes[i + 2 : i // 8 * 8 + 8], '') AS higher
+  FROM step),
+proof AS (
+  SELECT id_pos, lang, sha256(string_agg(lower || higher, '' ORDER BY level)) AS proof_sha256
+  FROM side GROUP BY id_pos, lang),
+fold AS (
+  SELECT pos AS id_pos, lang, 0 AS level, coalesce(changed, leaf) AS node FROM placed
+  UNION ALL
+  SELECT fold.id_pos, fold.lang, fold.level + 1, sha256(lower || node || higher)
+  FROM fold JOIN side ON side.id_pos = fold.id_pos AND side.lang IS NOT DISTINCT FROM fold.lang AND side.level = fold.level),
+folded AS (SELECT id_pos, lang, arg_max(node, level) AS folded_root FROM fold GROUP BY id_pos, lang)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM placed
+JOIN sub ON sub.lang IS NOT DISTINCT FROM placed.lang
+JOIN folded ON folded.id_pos = placed.pos AND folded.lang IS NOT DISTINCT FROM placed.lang
+LEFT JOIN proof ON proof.id_pos = placed.pos AND proof.lang IS NOT DISTINCT FROM placed.lang,
+(SELECT nodes[1] AS root FROM upper WHERE len(nodes) = 1)
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from . import (
     language_id,
     line_dedup,
     lm_scoring,
+    merkle,
     near_dedup,
     neighbours,
     piece_encoding,
@@ -108,6 +111,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs.withColumn("held_out", fold("doc_id", 5) == 1), "held_out")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = docs.select(
+        "doc_id",
+        "lang",
+        merkle.row_digest([*fields, F.col("text")]).alias("leaf"),
+        F.when(fold("doc_id", 3) == 0, merkle.row_digest([*fields, changed])).alias("changed"),
+    )
+    manifest = merkle.build_manifest(leaves, id_col="doc_id", group_col="lang", leaf_col="leaf")
+    return merkle.prove_rows(manifest).select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.fold_proof(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,5 +142,6 @@ QUERIES = {
         op8_line_dedup,
         op9_near_dedup,
         op10_lm_scoring,
+        op12_manifest,
     )
 }
