@@ -19,7 +19,7 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of bounded text size; one long text is a piece."""
     if text is None or batch.num_rows < 2:
         if batch.num_rows:
@@ -28,7 +28,7 @@ def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
-        if size and size + n > SLICE_BYTES:
+        if size and size + n > limit:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n

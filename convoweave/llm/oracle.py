@@ -145,3 +145,25 @@ JOIN folded ON folded.id_pos = placed.pos AND folded.lang IS NOT DISTINCT FROM p
 LEFT JOIN proof ON proof.id_pos = placed.pos AND proof.lang IS NOT DISTINCT FROM placed.lang,
 (SELECT nodes[1] AS root FROM upper WHERE len(nodes) = 1)
 """
+
+ORACLE["op13_repeats"] = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS pos,
+         unnest(list_transform(range(1, len(ws) - 48), lambda i: sha256(array_to_string(ws[i : i + 49], ' ')))) AS w
+  FROM doc WHERE len(ws) >= 50),
+owner AS (SELECT w, min(doc_id) AS least FROM win GROUP BY w),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos
+  FROM win JOIN owner USING (w) WHERE doc_id > least),
+cut AS (SELECT doc_id, list(pos) AS places, count(*) AS n_removed FROM gone GROUP BY doc_id),
+word AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM doc),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

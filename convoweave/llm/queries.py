@@ -11,6 +11,7 @@ import public_tokenizers
 
 from ..sources.scratch import scratch_path
 from . import (
+    alignment,
     decontamination,
     language_id,
     line_dedup,
@@ -19,12 +20,14 @@ from . import (
     near_dedup,
     neighbours,
     piece_encoding,
+    repeats,
     token_counts,
     token_files,
     url_filters,
 )
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -111,6 +114,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs.withColumn("held_out", fold("doc_id", 5) == 1), "held_out")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_corpus(docs, BYTE_TOKENIZER, PIECE_MODEL, keep=["doc_id"])
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -129,6 +137,14 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,6 +158,8 @@ QUERIES = {
         op8_line_dedup,
         op9_near_dedup,
         op10_lm_scoring,
+        op11_alignment,
         op12_manifest,
+        op13_repeats,
     )
 }
