@@ -302,7 +302,7 @@ def align_corpus(
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
 
     aligned = cut_lineage(rows.mapInArrow(run, schema))
-    answers = _pair_counts(aligned)
+    answers = _pair_counts(aligned).withColumnRenamed("_block", "_to")
     out = StructType([*[rows.schema[x] for x in names], *StructType.fromDDL(_COUNTED).fields])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -319,7 +319,7 @@ def align_corpus(
             shown = shown.append_column(name, pa.array(np.diff(total)))
         return shown
 
-    done = aligned.drop("_a", "_b", "_m").groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(finish, out)
+    done = aligned.drop("_a", "_b", "_m").groupBy("_block").cogroup(answers.groupBy("_to")).applyInArrow(finish, out)
     return done.select(*[F.col(x).alias(c) for c, x in zip(given, names)], *new)
 
 
