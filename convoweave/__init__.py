@@ -1,6 +1,7 @@
 """Post-training data for chat language models as Spark DataFrame plans."""
 
 from .functions.chat import assistant_spans, invalid_messages, render_chat
+from .functions.encoders import FileTokenizer, OffsetTokenizer, token_decoder
 from .functions.tokens import (
     token_count,
     token_counter,
@@ -37,9 +38,11 @@ from .spec import BatchTransform, Member, Mixture, RowTransform
 
 __all__ = [
     "BatchTransform",
+    "FileTokenizer",
     "Member",
     "Mixture",
     "MixturePlan",
+    "OffsetTokenizer",
     "RowTransform",
     "apply_transform",
     "assemble_messages",
@@ -73,6 +76,7 @@ __all__ = [
     "task_columns",
     "token_count",
     "token_counter",
+    "token_decoder",
     "token_lister",
     "token_mask",
     "tokenize",

@@ -87,6 +87,25 @@ def answer_bounds(start: Column, content: Column, eos: str) -> tuple[Column, Col
     return first, first + F.length(content) + len(eos)
 
 
+def answer_pieces(messages: Column, eos: str) -> Column:
+    """Per message the code points it adds to the text, and the trainable stretch inside them.
+
+    ``array<struct<length,start,end>>``; start and end are null where an assistant does not speak. The last
+    answer may lack its closing newline, which is not trainable.
+    """
+
+    def piece(m: Column) -> Column:
+        start, end = answer_bounds(F.lit(0), m["content"], eos)
+        speaks = m["role"] == "assistant"
+        return F.struct(
+            piece_length(m["role"], m["content"], eos).cast("int").alias("length"),
+            F.when(speaks, start).cast("int").alias("start"),
+            F.when(speaks, end).cast("int").alias("end"),
+        )
+
+    return F.transform(messages, piece)
+
+
 def assistant_spans(messages: Column, eos: str) -> Column:
     """Loss spans in the rendered text, 0-based code points, end-exclusive.
 

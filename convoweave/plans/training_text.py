@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chat import assistant_spans, invalid_messages, render_chat
+from ..functions.chat import answer_pieces, assistant_spans, invalid_messages, render_chat
+from ..functions.encoders import OffsetTokenizer
 from ..functions.tokens import token_mask, truncate_tokens
 from ..operators.packing import pack, pack_blocks
 from ..sources.contracts import TASK_COLUMNS, task_columns
@@ -57,27 +58,30 @@ def sft_text(
     """Text, tokens and truncation flag per conversation; if ``masked``, loss spans in
     the text and ``mask``, one flag for each token that is kept.
 
-    ``max_length=None`` cuts nothing, as packing needs it. ``tokenizer`` (``token_lister``) gives ids
-    of a real tokenizer; masks are for the built-in tokens only.
+    ``max_length=None`` cuts nothing, as packing needs it. ``tokenizer`` (``token_lister``, ``OffsetTokenizer``)
+    gives ids of a real tokenizer; masks of these need one that knows offsets, ``OffsetTokenizer``.
     Row-local throughout: no shuffle. ``on_invalid="raise"`` fails the job at the
     first conversation that cannot be rendered instead of setting it aside.
     """
-    if masked and tokenizer is not None:
-        raise ValueError("masks are made for the built-in tokens, not for those of a tokenizer")
+    offsets = isinstance(tokenizer, OffsetTokenizer)
+    if masked and tokenizer is not None and not offsets:
+        raise ValueError("masks need the built-in tokens or a tokenizer with offsets")
     valid, rejects = _guarded(task_columns(df, "sft", tuple(keep)), "sft", on_invalid)
     rendered = valid.withColumn(
         "text", render_chat(F.col("messages"), eos, add_generation_prompt)
     )
     if masked:
-        rendered = rendered.withColumns(
-            {
-                "spans": assistant_spans(F.col("messages"), eos),
-                "mask": token_mask(F.col("messages"), eos, add_generation_prompt),
-            }
-        )
+        rendered = rendered.withColumn("spans", assistant_spans(F.col("messages"), eos))
+        if offsets:
+            # Ids and mask come from one call; what follows only takes them apart.
+            found = tokenizer.masked(F.col("text"), answer_pieces(F.col("messages"), eos))
+            rendered = rendered.withColumn("_found", found).withColumn("mask", F.col("_found.mask"))
+            tokenizer = lambda _: F.col("_found.ids")
+        else:
+            rendered = rendered.withColumn("mask", token_mask(F.col("messages"), eos, add_generation_prompt))
     mask = "mask" if masked else None
     cut = truncate_tokens(rendered, max_length, eos=eos, tokenizer=tokenizer, mask=mask)
-    return TrainingText(cut.drop("messages"), rejects)
+    return TrainingText(cut.drop("messages", "_found"), rejects)
 
 
 def preference_text(

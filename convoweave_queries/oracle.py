@@ -403,6 +403,14 @@ ORACLE: dict[str, str] = {
         WITH {RENDERED}, {MASKED}
         SELECT conv_id, left(string_agg(flag, '' ORDER BY turn, place), 256) AS mask
         FROM flagged GROUP BY conv_id""",
+    "masked_token_ids": f"""
+        WITH {RENDERED},
+        answers AS (
+          SELECT conv_id, string_agg(content || '</s>', '' ORDER BY turn) AS trained
+          FROM turns WHERE role = 'assistant' GROUP BY conv_id
+        )
+        SELECT conv_id, true AS complete, md5(text) AS text_md5, md5(coalesce(trained, '')) AS trained_md5
+        FROM rendered LEFT JOIN answers USING (conv_id)""",
     "sft_text": f"""
         WITH {DAMAGED}, {SPANS},
         tokenised AS (

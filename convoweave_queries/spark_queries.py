@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import convoweave as cw
+from convoweave.functions.chat import ROLE_MARKERS
 from convoweave.functions.keys import row_key, stage_digest
 from convoweave.operators import catalogue
 from convoweave.plans.training_text import split_invalid
@@ -428,6 +429,44 @@ def token_mask(spark, sf_dir):
     return text.rows.select("conv_id", _digits(F.col("mask")).alias("mask"))
 
 
+def _byte_tokenizer():
+    """A public tokenizer with the role markers and the end of sequence as atoms."""
+    import public_tokenizers
+
+    encoder = cw.FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"), (*ROLE_MARKERS.values(), EOS))
+    return encoder, cw.OffsetTokenizer(encoder)
+
+
+@query
+def masked_token_ids(spark, sf_dir):
+    """What the ids of a trained tokenizer, and those of them that are trained on, say."""
+    encoder, tokenizer = _byte_tokenizer()
+    chats = inputs.conversations(spark, sf_dir)
+    rows = cw.sft_text(chats, eos=EOS, keep=["conv_id"], masked=True, tokenizer=tokenizer).rows
+    decode = cw.token_decoder(encoder.decode)
+    trained = F.transform(F.filter(F.arrays_zip("tokens", "mask"), lambda t: t["mask"]), lambda t: t["tokens"])
+    return rows.select(
+        "conv_id",
+        (F.size("tokens") == F.size("mask")).alias("complete"),
+        F.md5(decode(F.col("tokens"))).alias("text_md5"),
+        F.md5(decode(trained)).alias("trained_md5"),
+    )
+
+
+@query
+def packed_token_ids(spark, sf_dir):
+    """Blocks of ids with their masks: how many of each, and a checksum over both."""
+    _, tokenizer = _byte_tokenizer()
+    chats = inputs.conversations(spark, sf_dir)
+    text = cw.sft_text(chats, eos=EOS, keep=["conv_id"], masked=True, tokenizer=tokenizer)
+    blocks = cw.packed_text(text, ["conv_id"], block=2048, shards=4, seed=SEED)
+    return blocks.select(
+        "shard", "block", F.size("tokens").alias("n_tokens"),
+        F.size(F.filter("mask", lambda flag: flag)).alias("n_trained"),
+        F.md5(F.concat_ws(":", F.array_join("tokens", " "), _digits(F.col("mask")))).alias("blocks_md5"),
+    )
+
+
 @query
 def sft_text(spark, sf_dir):
     text = cw.sft_text(

@@ -22,8 +22,12 @@ def duck(sf_dir):
     return con
 
 
+# What SQL has no form for; compared with plain Python in the tests of the operators.
+NO_TWIN = {"packed_token_ids"}
+
+
 def test_every_query_has_a_twin():
-    assert set(spark_queries.QUERIES) == set(oracle.ORACLE)
+    assert set(spark_queries.QUERIES) == set(oracle.ORACLE) | NO_TWIN
     assert set(ORACLE) <= set(QUERIES)
 
 
