@@ -27,6 +27,7 @@ from .operators.projection import (
     select_columns,
 )
 from .operators.transform import apply_transform
+from .operators.whole_rows import pack_whole, plan_slots, whole_blocks
 from .plans.mixture import MixturePlan, build_mixture, load_training_data, plan_mixture
 from .plans.run_catalogue import run_status
 from .plans.training_text import packed_text, preference_text, render_pairs, sft_text
@@ -60,8 +61,10 @@ __all__ = [
     "pack",
     "pack_blocks",
     "pack_segments",
+    "pack_whole",
     "packed_text",
     "plan_mixture",
+    "plan_slots",
     "preference_text",
     "rename_sequential",
     "render_chat",
@@ -83,6 +86,7 @@ __all__ = [
     "train_test_split",
     "truncate_tokens",
     "turn_spans",
+    "whole_blocks",
     "with_content_key",
     "write_metrics",
     "write_splits",

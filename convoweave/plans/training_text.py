@@ -12,6 +12,7 @@ from ..functions.chat import answer_pieces, assistant_spans, invalid_messages, r
 from ..functions.encoders import OffsetTokenizer
 from ..functions.tokens import token_mask, truncate_tokens
 from ..operators.packing import pack, pack_blocks
+from ..operators.whole_rows import pack_whole, whole_blocks
 from ..sources.contracts import TASK_COLUMNS, task_columns
 
 # The maximum lengths in tokens that the recipes use. Nothing is cut unless asked for.
@@ -107,24 +108,32 @@ def preference_text(
 
 
 def packed_text(
-    text: TrainingText, key_cols: Sequence[str], *, block: int, shards: int, seed: int = 0
+    text: TrainingText,
+    key_cols: Sequence[str],
+    *,
+    block: int,
+    shards: int = 1,
+    seed: int = 0,
+    whole_rows: bool = False,
 ) -> DataFrame:
-    """Token blocks of fixed length from rendered rows, with ``mask`` if they have one.
+    """Token blocks from rendered rows, with ``mask`` if they have one.
 
+    By default each of ``shards`` is one stream that is cut into blocks of fixed length. With ``whole_rows`` no row of up to
+    ``block`` tokens is cut (``pack_whole``): blocks may be short, and ``lengths`` says where rows begin.
     Takes the tokens as they are: render with ``max_length=None`` to lose none.
     """
     masked = "mask" in text.rows.columns
     packed = F.arrays_zip("tokens", "mask") if masked else F.col("tokens")
     rows = text.rows.select(*key_cols, packed.alias("tokens"), F.size("tokens").alias("length"))
-    placed = pack(
-        rows, key_cols, "length", block=block, shards=shards, seed=seed, materialise=True
-    )
-    blocks = pack_blocks(placed, "tokens", block=block)
+    if whole_rows:
+        blocks = whole_blocks(pack_whole(rows, key_cols, "length", block=block, seed=seed, materialise=True), "tokens")
+    else:
+        placed = pack(rows, key_cols, "length", block=block, shards=shards, seed=seed, materialise=True)
+        blocks = pack_blocks(placed, "tokens", block=block)
     if not masked:
         return blocks
-    return blocks.select(
-        "shard", "block", F.col("tokens.tokens").alias("tokens"), F.col("tokens.mask").alias("mask")
-    )
+    others = [c for c in blocks.columns if c != "tokens"]
+    return blocks.select(*others, F.col("tokens.tokens").alias("tokens"), F.col("tokens.mask").alias("mask"))
 
 
 def _guarded(df: DataFrame, task: str, on_invalid: str) -> tuple[DataFrame, DataFrame]:

@@ -387,6 +387,20 @@ ORACLE: dict[str, str] = {
         SELECT shard, CAST(floor(idx / 512) AS BIGINT) AS block,
                CAST(count(*) AS INTEGER) AS n_tokens, string_agg(token, ' ' ORDER BY idx) AS text
         FROM numbered GROUP BY shard, CAST(floor(idx / 512) AS BIGINT)""",
+    "pack_whole_rows": f"""
+        SELECT doc_id, n_tokens, CAST(ceil(n_tokens / 4096.0) AS BIGINT) AS n_pieces,
+               CAST(n_tokens AS BIGINT) AS n_placed, least(n_tokens, 4096) AS longest, true AS apart
+        FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, {TOKENS})) AS INTEGER) AS n_tokens FROM documents)
+        WHERE n_tokens > 0""",
+    "packed_whole_text": f"""
+        WITH {RENDERED},
+        pieces_of AS (
+          SELECT tokens, unnest(range(0, len(tokens), 512)) AS cut
+          FROM (SELECT regexp_extract_all(text, {TOKENS}) AS tokens FROM rendered)
+        )
+        SELECT CAST(least(512, len(tokens) - cut) AS INTEGER) AS n_tokens,
+               array_to_string(tokens[cut + 1 : cut + 512], ' ') AS text
+        FROM pieces_of""",
     "packed_masked_text": f"""
         WITH {RENDERED}, {MASKED},
         numbered AS (

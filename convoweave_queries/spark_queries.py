@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import convoweave as cw
@@ -408,6 +408,32 @@ def packed_text(spark, sf_dir):
     )
 
 
+@query
+def pack_whole_rows(spark, sf_dir):
+    """Per document: its pieces, and whether they lie inside their blocks without touching others."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", cw.token_count(F.col("text"), EOS).alias("n_tokens"))
+    placed = cw.pack_whole(docs, ["doc_id"], "n_tokens", block=4096, seed=SEED, materialise=True)
+    size = F.col("to") - F.col("from")
+    after = F.lead("offset").over(Window.partitionBy("block").orderBy("offset"))
+    room = F.coalesce(after, F.lit(4096)) - F.col("offset")
+    return placed.withColumn("_apart", room >= size).groupBy("doc_id", "n_tokens").agg(
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.sum(size).alias("n_placed"),
+        F.max(size).cast("int").alias("longest"),
+        F.every("_apart").alias("apart"),
+    )
+
+
+@query
+def packed_whole_text(spark, sf_dir):
+    """Blocks of whole conversations, cut again where the lengths say."""
+    text = cw.sft_text(inputs.conversations(spark, sf_dir), eos=EOS, keep=["conv_id"])
+    blocks = cw.packed_text(text, ["conv_id"], block=512, seed=SEED, whole_rows=True)
+    start = F.aggregate(F.slice("lengths", F.lit(1), F.col("i")), F.lit(0), lambda a, n: a + n)
+    rows = blocks.select("tokens", "lengths", F.posexplode("lengths").alias("i", "n_tokens"))
+    return rows.select("n_tokens", F.array_join(F.slice("tokens", start + 1, F.col("n_tokens")), " ").alias("text"))
+
+
 def _digits(mask):
     return F.array_join(F.transform(mask, lambda flag: flag.cast("int").cast("string")), "")
 
