@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ def run_entries(
     results_root: str = "results",
     scripts_root: str | None = "recipes/dpo",
     script_kind: str = "dpo",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(kind, run, rest, path, is_dir, is_override)`` from a listing ``(path, is_dir)``.
+    """``(kind, run, rest, path, is_dir, is_override, *keep)`` from a listing ``(path, is_dir)``.
 
     ``rest`` is the path below the run, NULL for the run directory. Hidden runs
     and plain files beside the runs are left out. Script files directly under
@@ -42,7 +44,7 @@ def run_entries(
     # Unpacked through a generator, the path is taken apart once per row; as a
     # plain projection every later filter would repeat it.
     found = listing.where(wanted).select(
-        "path", "is_dir", F.explode(F.array(parts)).alias("_parts")
+        "path", "is_dir", *keep, F.explode(F.array(parts)).alias("_parts")
     )
     return found.select(
         F.get("_parts", F.lit(0)).alias("kind"),
@@ -51,6 +53,7 @@ def run_entries(
         "path",
         "is_dir",
         (~in_results).alias("is_override"),
+        *keep,
     ).where(
         F.col("kind").isin(*KINDS)
         & (F.col("run") != "")

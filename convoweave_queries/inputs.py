@@ -60,6 +60,11 @@ def damaged_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file inventory ``(path, is_dir)``: one checkpoint per event, a run per user."""
+    return listing_of(table(spark, sf_dir, "events"))
+
+
+def listing_of(events: DataFrame, *keep: str) -> DataFrame:
+    """The same from events as a table or a stream, with columns of theirs."""
     user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     kind = F.when(F.col("user_id") % 3 == 0, "dpo").otherwise("sft")
     base = F.concat(F.lit("results/"), kind, F.lit("/run-"), user)
@@ -94,10 +99,9 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry(F.concat(F.lit("logs/"), event, F.lit(".txt"))),
     ]
     return (
-        table(spark, sf_dir, "events")
-        .select(F.explode(F.array(*entries)).alias("entry"))
+        events.select(F.explode(F.array(*entries)).alias("entry"), *keep)
         .where(F.col("entry").isNotNull())
-        .select("entry.*")
+        .select("entry.*", *keep)
     )
 
 

@@ -495,6 +495,12 @@ ORACLE: dict[str, str] = {
         FROM entries e JOIN runs r ON r.kind = e.kind AND r.run = e.run
         WHERE NOT e.is_dir AND e.rest NOT LIKE 'checkpoint-%' AND e.rest NOT LIKE 'slurm/%'
           AND r.finished AND r.hub_model_id IS NOT NULL""",
+    "stream_run_status": f"""
+        WITH {RUNS}
+        SELECT r.kind, r.run, r.path, r.finished, r.latest_checkpoint_step, r.slurm_script, r.many_scripts, n_files
+        FROM runs r JOIN (SELECT kind, run, CAST(count(DISTINCT path) AS BIGINT) AS n_files
+                          FROM entries WHERE NOT is_dir GROUP BY kind, run) f
+          ON f.kind = r.kind AND f.run = r.run""",
     "stream_documents": """
         SELECT doc_id, '<|user|>' || chr(10) || text || chr(10) AS text FROM documents""",
 }

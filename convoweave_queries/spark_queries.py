@@ -15,6 +15,7 @@ from convoweave.operators import catalogue
 from convoweave.plans.training_text import split_invalid
 from convoweave.sources.listing import run_configs, run_entries
 from convoweave.sources.scratch import scratch_path
+from convoweave.streaming.runs import current_runs, stream_runs
 from convoweave.streaming.rows import run_available, stream_member, stream_table, stream_text
 
 from . import inputs
@@ -641,6 +642,17 @@ def upload_manifest(spark, sf_dir):
 # --- streaming -------------------------------------------------------------
 
 
+@query
+def stream_run_status(spark, sf_dir):
+    """Runs as a stream of file entries leaves them, once the source is drained."""
+    schema = table(spark, sf_dir, "events").schema
+    events = stream_table(spark, sf_dir, schema, files="events.parquet")
+    path = scratch_path(spark, "stream")
+    updates = stream_runs(inputs.listing_of(events, "ts"), repeats_within="400 days")
+    run_available(updates, f"{path}/data", f"{path}/state")
+    return current_runs(spark, f"{path}/data").drop("last_new")
+
+
 @query
 def stream_documents(spark, sf_dir):
     """The row-local chain on a file stream, run until the source is drained."""
