@@ -2,6 +2,7 @@
 
 from .functions.chat import assistant_spans, invalid_messages, render_chat
 from .functions.encoders import FileTokenizer, OffsetTokenizer, token_decoder
+from .functions.permutation import Permutation
 from .functions.tokens import (
     token_count,
     token_counter,
@@ -18,6 +19,7 @@ from .operators.conversations import (
 )
 from .operators.copies import with_content_key
 from .operators.exact_cut import exact_sample, train_test_split
+from .operators.numbering import number_rows, sample_rows, shuffle_rows
 from .operators.packing import pack, pack_blocks, pack_segments
 from .operators.projection import (
     concat_members,
@@ -44,6 +46,7 @@ __all__ = [
     "Mixture",
     "MixturePlan",
     "OffsetTokenizer",
+    "Permutation",
     "RowTransform",
     "apply_transform",
     "assemble_messages",
@@ -58,6 +61,7 @@ __all__ = [
     "load_dataset",
     "load_member",
     "load_training_data",
+    "number_rows",
     "pack",
     "pack_blocks",
     "pack_segments",
@@ -71,9 +75,11 @@ __all__ = [
     "render_pairs",
     "render_turns",
     "run_status",
+    "sample_rows",
     "scan_configs",
     "select_columns",
     "sft_text",
+    "shuffle_rows",
     "split_counts",
     "split_invalid_turns",
     "task_columns",

@@ -221,6 +221,33 @@ def _pack(rows: str, length: str, shard: str, order: str) -> str:
 _HASH = "md5('42:pack::' || CAST({key} AS VARCHAR))"
 _PLACE = "CAST('0x' || substr(" + _HASH + ", 1, 15) AS BIGINT)"
 
+def _permute_once(source: str) -> str:
+    """Six rounds on ``x`` of a derived table, one subquery each: ``(number, x, y)``."""
+    key = "CAST('0x' || substr(md5('42:permute:{r}'), 1, 7) AS BIGINT)"
+    p = "2147483647"
+    inner = f"SELECT number, x, x // b AS l, x % b AS r, a, b FROM ({source}), size"
+    for r in range(6):
+        digit, k = ("r", key.format(r=r)) if r % 2 == 0 else ("l", key.format(r=r))
+        mixed = f"SELECT *, ({digit} + {k}) % {p} AS m FROM ({inner})"
+        mixed = f"SELECT * EXCLUDE (m), (m * m + {k}) % {p} AS m FROM ({mixed})"
+        left, right = ("(l + m * m % {p}) % a", "r") if r % 2 == 0 else ("l", "(r + m * m % {p}) % b")
+        inner = f"SELECT number, x, {left.format(p=p)} AS l, {right.format(p=p)} AS r, a, b FROM ({mixed})"
+    return f"SELECT number, x, l * b + r AS y FROM ({inner})"
+
+
+PLACES = f"""
+numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+size AS (
+  SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM n)
+),
+walk AS (
+  SELECT number, y, 0 AS step FROM ({_permute_once("SELECT number, number AS x FROM numbered")})
+  UNION ALL
+  SELECT number, y, 0 FROM ({_permute_once("SELECT number, y AS x FROM walk, n WHERE y >= n")})
+),
+places AS (SELECT number, y AS place FROM walk, n WHERE y < n)"""
+
 ORACLE: dict[str, str] = {
     "render_chat": f"WITH {RENDERED} SELECT conv_id, text FROM rendered",
     "render_generation_prompt": f"""
@@ -305,6 +332,13 @@ ORACLE: dict[str, str] = {
         WHERE place <= floor(n * CAST(0.5 AS DOUBLE))""",
     "shuffle_order": """
         SELECT doc_id, md5('42:shuffle:doc:' || doc_id) AS order_key FROM documents""",
+    "permuted_order": f"""
+        WITH RECURSIVE {PLACES}
+        SELECT doc_id, number, place, number AS back FROM numbered JOIN places USING (number)""",
+    "sample_by_place": f"""
+        WITH RECURSIVE {PLACES}
+        SELECT doc_id, lang FROM numbered JOIN places USING (number) JOIN documents USING (doc_id), n
+        WHERE place < CAST(floor(n * CAST(0.3 AS DOUBLE)) AS BIGINT)""",
     "train_test_split": """
         SELECT doc_id, lang,
                CASE WHEN row_number() OVER (

@@ -226,6 +226,23 @@ def shuffle_order(spark, sf_dir):
     return docs.select("doc_id", key.alias("order_key"))
 
 
+@query
+def permuted_order(spark, sf_dir):
+    """Place of every document in a shuffled order, without a sort by it, and what the place leads back to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    numbered, n = cw.number_rows(docs, ["doc_id"])
+    order = cw.Permutation(n, SEED)
+    placed = numbered.withColumn("place", order.place(F.col("_number")))
+    return placed.select("doc_id", F.col("_number").alias("number"), "place", order.item(F.col("place")).alias("back"))
+
+
+@query
+def sample_by_place(spark, sf_dir):
+    """An exact sample as a filter on places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return cw.sample_rows(docs, ["doc_id"], fraction=0.3, seed=SEED)
+
+
 @query
 def train_test_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
