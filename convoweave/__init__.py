@@ -19,6 +19,7 @@ from .operators.conversations import (
 )
 from .operators.copies import with_content_key
 from .operators.exact_cut import exact_sample, train_test_split
+from .operators.nested_union import concat_nested
 from .operators.numbering import number_rows, sample_rows, shuffle_rows
 from .operators.packing import pack, pack_blocks, pack_segments
 from .operators.projection import (
@@ -35,7 +36,7 @@ from .plans.run_catalogue import run_status
 from .plans.training_text import packed_text, preference_text, render_pairs, sft_text
 from .sources.contracts import check_contract, task_columns
 from .sources.listing import scan_configs
-from .sources.sinks import split_counts, write_metrics, write_splits
+from .sources.sinks import save_metrics, split_counts, write_metrics, write_splits
 from .sources.tables import load_dataset, load_member
 from .spec import BatchTransform, Member, Mixture, RowTransform
 
@@ -54,6 +55,7 @@ __all__ = [
     "build_mixture",
     "check_contract",
     "concat_members",
+    "concat_nested",
     "drop_empty_conversations",
     "drop_messages",
     "exact_sample",
@@ -76,6 +78,7 @@ __all__ = [
     "render_turns",
     "run_status",
     "sample_rows",
+    "save_metrics",
     "scan_configs",
     "select_columns",
     "sft_text",

@@ -14,9 +14,10 @@ from ..functions.keys import row_key, stage_digest
 from ..operators.copies import with_content_key
 from ..operators.exact_cut import FETCH_ROWS, Cut, find_cuts, key_frame, split_cut
 from ..operators.member_steps import initial_columns, reshape
+from ..operators.nested_union import concat_nested
 from ..operators.projection import concat_members
 from ..sources.scratch import cut_lineage
-from ..sources.sinks import write_marked
+from ..sources.sinks import save_metrics, write_marked
 from ..sources.tables import load_dataset, load_member, select_split
 from ..spec import BatchTransform, Member, Mixture, RowTransform
 
@@ -56,17 +57,25 @@ class MixturePlan:
             F.count(F.lit(1)).alias("rows")
         )
 
-    def write(self, path: str, *, files: int | None = None, mode: str = "errorifexists") -> None:
-        """Write all splits in shuffled order in one pass; a split gets files by its share."""
+    def write(
+        self, path: str, *, files: int | None = None, mode: str = "errorifexists", metrics: str | None = None
+    ) -> dict[str, int]:
+        """Write all splits in shuffled order in one pass; a split gets files by its share.
+
+        Returns the rows written by split, counted in that pass; ``metrics`` saves them there too (``save_metrics``).
+        """
         if files is None:
             files = int(self.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         per_split = {"train": files}
         if self.total:
             test = max(1, round(files * self.test_rows / self.total))
             per_split = {"train": max(1, files - test), "test": test}
-        write_marked(
+        rows = write_marked(
             self.frame, path, names=list(self.names), order_key=ORDER, files=per_split, mode=mode
         )
+        if metrics is not None:
+            save_metrics(self.frame.sparkSession, rows, metrics, mode=mode)
+        return rows
 
 
 def plan_mixture(
@@ -76,6 +85,7 @@ def plan_mixture(
     *,
     tables: Mapping[str, DataFrame] | None = None,
     materialise_keys: bool = False,
+    fill_nested: bool = False,
     fetch_rows: int = FETCH_ROWS,
 ) -> MixturePlan:
     """Plan a mixture over tables below ``root`` (or given by member id in ``tables``).
@@ -86,6 +96,8 @@ def plan_mixture(
     A test split counts the rows that are left after the transforms, two or
     three times. ``materialise_keys`` writes their keys to shared storage first,
     which pays if ``messages`` come out of costly expressions.
+
+    Members must agree on the fields inside their columns, unless ``fill_nested`` fills the missing ones with nulls.
     """
     members = {member.label: member for member in mixture.datasets}
     loaded = {name: _load(spark, m, root, tables or {}) for name, m in members.items()}
@@ -103,7 +115,7 @@ def plan_mixture(
             # Splitting counts the rows that come out of the Python code; run that once.
             df = cut_lineage(df)
         frames.append(df.withColumn(MEMBER, F.lit(name)))
-    united = concat_members(frames)
+    united = concat_nested(frames) if fill_nested else concat_members(frames)
     united = united.withColumn(
         ORDER, stage_digest(mixture.seed, "shuffle", F.col(MEMBER), F.col(KEY))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import POSITION_BITS, position
@@ -22,8 +22,8 @@ def write_splits(
     files: int | Mapping[str, int] | None = None,
     mode: str = "errorifexists",
     format: str = "parquet",
-) -> None:
-    """Write the splits as partitions of one table.
+) -> dict[str, int]:
+    """Write the splits as partitions of one table; returns the rows written by split.
 
     With ``order_key`` (an md5 digest column) the rows of a split are in key
     order within and across its files, cut into ``files`` even ranges. Digests
@@ -33,7 +33,7 @@ def write_splits(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [df.withColumn("split", F.lit(name)) for name, df in splits.items()],
     )
-    write_marked(
+    return write_marked(
         frame, path, names=list(splits), order_key=order_key, files=files, mode=mode, format=format
     )
 
@@ -47,11 +47,19 @@ def write_marked(
     files: int | Mapping[str, int] | None = None,
     mode: str = "errorifexists",
     format: str = "parquet",
-) -> None:
-    """As :func:`write_splits`, for one frame with a ``split`` column: one pass."""
+) -> dict[str, int]:
+    """As :func:`write_splits`, for one frame with a ``split`` column: one pass.
+
+    Rows are counted by ``observe`` in the tasks that write them, behind the last exchange. Spark takes the counts of
+    each such task once, whether it was tried again or run twice, so they are those of the files.
+    """
     if order_key is not None:
         frame = _in_order(frame, names, order_key, files)
-    frame.write.partitionBy("split").mode(mode).format(format).save(path)
+    seen = Observation()
+    # Metrics are named by number, as a split may have any name.
+    counts = [F.count_if(F.col("split") == name).alias(f"n{i}") for i, name in enumerate(names)]
+    frame.observe(seen, *counts).write.partitionBy("split").mode(mode).format(format).save(path)
+    return {name: seen.get[f"n{i}"] for i, name in enumerate(names)}
 
 
 def _in_order(
@@ -87,11 +95,15 @@ def split_counts(splits: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
 
 def write_metrics(counts: DataFrame, path: str, *, mode: str = "errorifexists") -> dict[str, int]:
     """Save ``train_samples`` / ``eval_samples`` as one small JSON file."""
-    metrics = {
-        METRIC_NAMES.get(row["split"], f"{row['split']}_samples"): row["rows"]
-        for row in counts.select("split", "rows").collect()  # one row per split
-    }
-    spark = counts.sparkSession
+    rows = {r["split"]: r["rows"] for r in counts.select("split", "rows").collect()}  # one row per split
+    return save_metrics(counts.sparkSession, rows, path, mode=mode)
+
+
+def save_metrics(
+    spark: SparkSession, rows: Mapping[str, int], path: str, *, mode: str = "errorifexists"
+) -> dict[str, int]:
+    """Save rows by split, as a write returns them, as one small JSON file."""
+    metrics = {METRIC_NAMES.get(split, f"{split}_samples"): n for split, n in rows.items()}
     row = spark.range(1).select(*[F.lit(n).alias(name) for name, n in sorted(metrics.items())])
     row.coalesce(1).write.mode(mode).json(path)
     return metrics

@@ -294,6 +294,12 @@ ORACLE: dict[str, str] = {
     "concat_members": """
         SELECT 'doc' AS src, doc_id AS id, text, lang FROM documents
         UNION ALL SELECT 'bench', item_id, text, NULL FROM benchmark""",
+    "concat_nested": """
+        SELECT 'conv' AS src, CAST(conv_id AS VARCHAR) AS id, role, text AS content,
+               CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS BIGINT) AS n_chars, NULL AS item
+        FROM conversations
+        UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR), 'user', text, lang, n_chars, NULL FROM documents
+        UNION ALL SELECT 'bench', NULL, NULL, text, NULL, NULL, item_id FROM benchmark""",
     "transform_expressions": r"""
         SELECT doc_id, upper(lang) AS lang,
                CAST(len(regexp_extract_all(text, '[^ \n]+')) AS INTEGER) AS n_words
@@ -376,6 +382,10 @@ ORACLE: dict[str, str] = {
         WITH {MIXTURE}
         SELECT count(*) FILTER (WHERE split = 'train') AS train_samples,
                count(*) FILTER (WHERE split = 'test') AS eval_samples FROM mixture""",
+    "written_metrics": f"""
+        WITH {MIXTURE}
+        SELECT count(*) FILTER (WHERE split = 'train') AS train_samples,
+               count(*) FILTER (WHERE split = 'test') AS eval_samples FROM mixture""",
     "write_splits": f"WITH {MIXTURE} SELECT member, row_key, order_key, split FROM mixture",
     "token_counts": f"""
         SELECT doc_id, CAST(len(regexp_extract_all(text, {TOKENS})) AS INTEGER) AS n_tokens

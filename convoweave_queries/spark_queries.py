@@ -164,6 +164,28 @@ def concat_members(spark, sf_dir):
     return cw.concat_members([docs, bench])
 
 
+@query
+def concat_nested(spark, sf_dir):
+    """Conversations, documents and items whose messages have different fields, united and taken apart."""
+    chats = inputs.conversations(spark, sf_dir).select(
+        F.lit("conv").alias("src"), F.col("conv_id").cast("string").alias("id"), "messages"
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("doc").alias("src"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.array(
+            F.struct(F.col("text").alias("content"), F.struct("lang", "n_chars").alias("meta"), F.lit("user").alias("role"))
+        ).alias("messages"),
+    )
+    items = table(spark, sf_dir, "benchmark").select(
+        F.array(F.struct(F.struct(F.col("item_id").alias("item")).alias("meta"), F.col("text").alias("content"))).alias("messages"),
+        F.lit("bench").alias("src"),
+    )
+    united = cw.concat_nested([chats, docs, items])
+    said = united.select("src", "id", F.inline("messages"))
+    return said.select("src", "id", "role", "content", "meta.lang", "meta.n_chars", "meta.item")
+
+
 @query
 def transform_expressions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -361,6 +383,14 @@ def split_metrics(spark, sf_dir):
     return spark.read.schema("train_samples bigint, eval_samples bigint").json(path)
 
 
+@query
+def written_metrics(spark, sf_dir):
+    """The same counts, taken while the splits are written."""
+    path = scratch_path(spark, "mixture")
+    _mixture_plan(spark, sf_dir).write(path, metrics=f"{path}-metrics")
+    return spark.read.schema("train_samples bigint, eval_samples bigint").json(f"{path}-metrics")
+
+
 # --- tokens ----------------------------------------------------------------
 
 
