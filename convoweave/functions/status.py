@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .globs import matches_any
+
 # The file that marks a finished run, and the reasons given.
 FINISHED_MARKER = "train_results.json"
 REASON_FINISHED = "found train_results.json"
@@ -69,16 +73,16 @@ def is_resubmittable(finished: Column, script: Column) -> Column:
     return script.isNotNull() & ~finished
 
 
-def is_artifact(name: Column) -> Column:
+def is_artifact(name: Column, patterns: Sequence[str] | None = None) -> Column:
+    """Whether a file of a checkpoint is worth keeping: by the endings above, or by patterns instead."""
+    if patterns is not None:
+        return matches_any(name, patterns)
     hit = F.lit(False)
     for ending in ARTIFACT_ENDINGS:
         hit = hit | F.endswith(name, F.lit(ending))
     return hit
 
 
-def is_ignored_upload(relative_path: Column) -> Column:
-    """Glob ``*`` crosses directories here, so both patterns are prefixes."""
-    hit = F.lit(False)
-    for pattern in UPLOAD_IGNORE:
-        hit = hit | F.startswith(relative_path, F.lit(pattern.rstrip("*")))
-    return hit
+def is_ignored_upload(relative_path: Column, patterns: Sequence[str] = UPLOAD_IGNORE) -> Column:
+    """Whether a pattern covers the path; ``*`` crosses directories, and a directory stands for what is below it."""
+    return matches_any(relative_path, [p + "*" if p.endswith("/") else p for p in patterns])

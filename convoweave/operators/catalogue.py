@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.globs import matches_any
 from ..functions.status import (
     FINISHED_MARKER,
+    UPLOAD_IGNORE,
     is_artifact,
     is_ignored_upload,
     is_publishable,
@@ -141,24 +145,38 @@ def in_listing_order(runs: DataFrame) -> DataFrame:
     )
 
 
-def artifact_manifest(entries: DataFrame, *, results_root: str = "results") -> DataFrame:
-    """``(src, dst)`` for checkpoint files worth keeping; nothing is copied."""
+def artifact_manifest(
+    entries: DataFrame, *, results_root: str = "results", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``(src, dst)`` for checkpoint files worth keeping; nothing is copied.
+
+    ``keep`` are patterns on file names (``table_patterns`` reads a table of them) in place of the usual endings.
+    """
     pattern = r"^checkpoint-([0-9]+)/([^/]+)\z"
     base = F.concat_ws("/", F.lit(results_root.rstrip("/")), "kind", "run", F.lit("artifacts"))
     step, name = (F.regexp_extract("rest", pattern, i) for i in (1, 2))
     return (
-        entries.where(~F.col("is_dir") & F.col("rest").rlike(pattern) & is_artifact(F.col("path")))
+        entries.where(~F.col("is_dir") & F.col("rest").rlike(pattern) & is_artifact(name, keep))
         .select(F.col("path").alias("src"), F.concat_ws("/", base, step, name).alias("dst"))
     )
 
 
-def upload_manifest(entries: DataFrame, runs: DataFrame) -> DataFrame:
+def upload_manifest(
+    entries: DataFrame,
+    runs: DataFrame,
+    *,
+    ignore: Sequence[str] = UPLOAD_IGNORE,
+    allow: Sequence[str] | None = None,
+) -> DataFrame:
     """``(repo_id, src, dst)`` for the files of publishable runs, minus the ignored ones.
 
+    ``ignore`` and ``allow`` are patterns on paths below the run; without ``allow`` all others go along.
+
     One run may own a large share of the files; its rows are dealt to many tasks.
     """
     files = entries.where(
-        ~F.col("is_dir") & F.col("rest").isNotNull() & ~is_ignored_upload(F.col("rest"))
+        ~F.col("is_dir") & F.col("rest").isNotNull() & ~is_ignored_upload(F.col("rest"), ignore)
+        & (F.lit(True) if allow is None else matches_any(F.col("rest"), allow))
     ).select("kind", "run", F.col("path").alias("src"), F.col("rest").alias("dst"))
     targets = publishable(runs).select("kind", "run", F.col("hub_model_id").alias("repo_id"))
     return salted_join(

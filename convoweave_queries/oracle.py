@@ -539,6 +539,15 @@ ORACLE: dict[str, str] = {
         FROM entries e JOIN runs r ON r.kind = e.kind AND r.run = e.run
         WHERE NOT e.is_dir AND e.rest NOT LIKE 'checkpoint-%' AND e.rest NOT LIKE 'slurm/%'
           AND r.finished AND r.hub_model_id IS NOT NULL""",
+    "upload_by_patterns": f"""
+        WITH {RUNS}
+        SELECT r.hub_model_id AS repo_id, e.path AS src, e.rest AS dst
+        FROM entries e JOIN runs r ON r.kind = e.kind AND r.run = e.run
+        WHERE NOT e.is_dir AND r.finished AND r.hub_model_id IS NOT NULL
+          AND NOT (e.rest GLOB 'checkpoint-*[!05]/*' OR e.rest GLOB 'slurm/job-?.sh'
+                   OR e.rest GLOB '*/[k-o]*.pt' OR e.rest GLOB 'weights-*1*.bin')
+          AND (e.rest GLOB '*.bin' OR e.rest GLOB '*.pt' OR e.rest GLOB 'checkpoint-*/[a-m]*'
+               OR e.rest GLOB 'slurm/**')""",
     "stream_run_status": f"""
         WITH {RUNS}
         SELECT r.kind, r.run, r.path, r.finished, r.latest_checkpoint_step, r.slurm_script, r.many_scripts, n_files

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import convoweave as cw
 from convoweave.functions.chat import ROLE_MARKERS
+from convoweave.functions.globs import table_patterns
 from convoweave.functions.keys import row_key, stage_digest
 from convoweave.operators import catalogue
 from convoweave.plans.training_text import split_invalid
@@ -686,6 +687,21 @@ def upload_manifest(spark, sf_dir):
     )
 
 
+# Globs with every kind of part; the twin has the same ones.
+UPLOAD_PATTERNS = {
+    "ignore": ["checkpoint-*[!05]/*", "slurm/job-?.sh", "*/[k-o]*.pt", "weights-*1*.bin"],
+    "allow": ["*.bin", "*.pt", "checkpoint-*/[a-m]*", "slurm/**"],
+}
+
+
+@query
+def upload_by_patterns(spark, sf_dir):
+    """Ignored and allowed files by tables of patterns."""
+    rules = spark.createDataFrame([(k, p) for k, ps in UPLOAD_PATTERNS.items() for p in ps], "kind string, pattern string")
+    lists = {kind: table_patterns(rules.where(F.col("kind") == kind)) for kind in UPLOAD_PATTERNS}
+    return catalogue.upload_manifest(_entries(spark, sf_dir), _runs(spark, sf_dir, with_published=False), **lists)
+
+
 # --- streaming -------------------------------------------------------------
 
 
