@@ -30,6 +30,7 @@ from .operators.projection import (
     select_columns,
 )
 from .operators.transform import apply_transform
+from .operators.weighted_sample import weighted_sample
 from .operators.whole_rows import pack_whole, plan_slots, whole_blocks
 from .plans.mixture import MixturePlan, build_mixture, load_training_data, plan_mixture
 from .plans.run_catalogue import run_status
@@ -95,6 +96,7 @@ __all__ = [
     "train_test_split",
     "truncate_tokens",
     "turn_spans",
+    "weighted_sample",
     "whole_blocks",
     "with_content_key",
     "write_metrics",

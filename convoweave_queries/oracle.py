@@ -318,6 +318,23 @@ ORACLE: dict[str, str] = {
                  count(*) OVER () AS n
           FROM documents)
         WHERE place <= floor(n * CAST(0.66 AS DOUBLE))""",
+    "sample_by_row_weight": """
+        WITH weighted AS (
+          SELECT doc_id, lang, quality,
+                 CASE WHEN doc_id % 11 = 7 AND quality = 0 THEN 0.0
+                      ELSE coalesce(1.0 + 3.0 * quality, 2.0) END::DOUBLE AS weight
+          FROM documents LEFT JOIN labels USING (doc_id)
+        ),
+        keyed AS (
+          SELECT *, md5('42:weigh:doc:' || doc_id) AS digest FROM weighted WHERE weight > 0
+        ),
+        ranked AS (
+          SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY
+                   -ln(((CAST('0x' || substr(digest, 1, 15) AS BIGINT) >> 8) + 1) / 4503599627370496.0::DOUBLE) / weight,
+                   digest) AS place
+          FROM keyed
+        )
+        SELECT doc_id, lang, quality, weight FROM ranked WHERE place <= floor(n * CAST(0.2 AS DOUBLE))""",
     "sample_composite_key": """
         SELECT l_orderkey, l_linenumber, l_quantity FROM (
           SELECT *, row_number() OVER (ORDER BY md5('42:sample:line:' || key), key) AS place,

@@ -226,6 +226,16 @@ def sample_by_weight(spark, sf_dir):
     return cw.exact_sample(docs, ["doc_id"], fraction=0.66, seed=SEED, member="doc")
 
 
+@query
+def sample_by_row_weight(spark, sf_dir):
+    """A fifth of the documents, good ones four times as likely, unlabelled ones twice, bad ones with id 7 mod 11 never."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    weight = F.coalesce(1.0 + 3.0 * F.col("quality"), F.lit(2.0))
+    weighted = docs.withColumn("weight", F.when((F.col("doc_id") % 11 == 7) & (F.col("quality") == 0), 0.0).otherwise(weight))
+    return cw.weighted_sample(weighted, ["doc_id"], "weight", fraction=0.2, seed=SEED, member="doc")
+
+
 @query
 def sample_composite_key(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
