@@ -39,10 +39,12 @@ from .sources.contracts import check_contract, task_columns
 from .sources.listing import scan_configs
 from .sources.sinks import save_metrics, split_counts, write_metrics, write_splits
 from .sources.tables import load_dataset, load_member
-from .spec import BatchTransform, Member, Mixture, RowTransform
+from .spec import ArrowColumn, BatchTransform, ColumnTransform, Member, Mixture, RowTransform
 
 __all__ = [
+    "ArrowColumn",
     "BatchTransform",
+    "ColumnTransform",
     "FileTokenizer",
     "Member",
     "Mixture",

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..spec import BatchTransform, RowTransform, Transform
+from ..functions.keys import quoted
+from ..spec import BatchTransform, ColumnTransform, RowTransform, Transform
 
 
 def apply_transform(df: DataFrame, transform: Transform) -> DataFrame:
@@ -18,11 +19,25 @@ def apply_transform(df: DataFrame, transform: Transform) -> DataFrame:
     """
     if isinstance(transform, BatchTransform):
         return _map_batches(df, transform)
+    if isinstance(transform, ColumnTransform):
+        return _map_columns(df, transform)
     if isinstance(transform, RowTransform):
         return _map_rows(df, transform)
     if isinstance(transform, Mapping) and transform:
         return df.withColumns({name: F.expr(sql) for name, sql in transform.items()})
-    raise ValueError("no transform found: give SQL expressions, a BatchTransform or a RowTransform")
+    raise ValueError("no transform found: give SQL expressions, a BatchTransform, ColumnTransform or RowTransform")
+
+
+def _map_columns(df: DataFrame, transform: ColumnTransform) -> DataFrame:
+    made = {}
+    for name, column in transform.columns.items():
+        missing = [c for c in column.inputs if c not in df.columns]
+        if missing or not column.inputs:
+            raise ValueError(f"column {name!r} is made of {list(column.inputs)}, and there are {df.columns}")
+        made[name] = F.arrow_udf(column.fn, column.type)(*[F.col(quoted(c)) for c in column.inputs])
+    if not made:
+        raise ValueError("no transform found: a ColumnTransform without columns")
+    return df.withColumns(made)
 
 
 def _map_batches(df: DataFrame, transform: BatchTransform) -> DataFrame:

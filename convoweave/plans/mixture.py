@@ -19,7 +19,7 @@ from ..operators.projection import concat_members
 from ..sources.scratch import cut_lineage
 from ..sources.sinks import save_metrics, write_marked
 from ..sources.tables import load_dataset, load_member, select_split
-from ..spec import BatchTransform, Member, Mixture, RowTransform
+from ..spec import BatchTransform, ColumnTransform, Member, Mixture, RowTransform
 
 logger = logging.getLogger(__name__)
 
@@ -110,7 +110,9 @@ def plan_mixture(
             key = F.col(KEY)
             df = df.where(cuts[name].keeps(stage_digest(mixture.seed, "sample", name, key), key))
         df = reshape(df, member, also=[KEY])
-        in_python = isinstance(member.transform, (BatchTransform, RowTransform))
+        in_python = isinstance(member.transform, (BatchTransform, RowTransform)) or (
+            isinstance(member.transform, ColumnTransform) and "messages" in member.transform.columns
+        )
         if in_python and mixture.test_split_size is not None:
             # Splitting counts the rows that come out of the Python code; run that once.
             df = cut_lineage(df)

@@ -13,6 +13,9 @@ from ..functions.keys import POSITION_BITS, position
 # Metric names by split.
 METRIC_NAMES = {"train": "train_samples", "test": "eval_samples"}
 
+# Save mode that replaces the written splits only.
+OVERWRITE_SPLITS = "overwrite_splits"
+
 
 def write_splits(
     splits: Mapping[str, DataFrame],
@@ -25,6 +28,9 @@ def write_splits(
 ) -> dict[str, int]:
     """Write the splits as partitions of one table; returns the rows written by split.
 
+    ``mode`` is a save mode of Spark, or ``OVERWRITE_SPLITS``: the splits that are written replace those of the same
+    name and others stay as they are, file by file. A split without rows replaces nothing.
+
     With ``order_key`` (an md5 digest column) the rows of a split are in key
     order within and across its files, cut into ``files`` even ranges. Digests
     are uniform, so the ranges need no sampling pass; one exchange results.
@@ -58,7 +64,12 @@ def write_marked(
     seen = Observation()
     # Metrics are named by number, as a split may have any name.
     counts = [F.count_if(F.col("split") == name).alias(f"n{i}") for i, name in enumerate(names)]
-    frame.observe(seen, *counts).write.partitionBy("split").mode(mode).format(format).save(path)
+    writer = frame.observe(seen, *counts).write.partitionBy("split").format(format)
+    if mode == OVERWRITE_SPLITS:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode(mode)
+    writer.save(path)
     return {name: seen.get[f"n{i}"] for i, name in enumerate(names)}
 
 
@@ -105,5 +116,5 @@ def save_metrics(
     """Save rows by split, as a write returns them, as one small JSON file."""
     metrics = {METRIC_NAMES.get(split, f"{split}_samples"): n for split, n in rows.items()}
     row = spark.range(1).select(*[F.lit(n).alias(name) for name, n in sorted(metrics.items())])
-    row.coalesce(1).write.mode(mode).json(path)
+    row.coalesce(1).write.mode("overwrite" if mode == OVERWRITE_SPLITS else mode).json(path)
     return metrics

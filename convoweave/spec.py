@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,27 @@ class RowTransform:
     schema: str | StructType
 
 
-Transform = Mapping[str, str] | BatchTransform | RowTransform
+@dataclass(frozen=True)
+class ArrowColumn:
+    """One column from others: ``fn`` takes their Arrow arrays and returns one of the same length."""
+
+    fn: Callable
+    type: str | DataType
+    inputs: Sequence[str]
+
+
+@dataclass(frozen=True)
+class ColumnTransform:
+    """Python transform column by column.
+
+    Each of ``columns`` is replaced or added; all see the input row. Unlike a batch transform this is no barrier: filters on
+    other columns and projections go through it to the scan, and a column that nobody asks for is not computed.
+    """
+
+    columns: Mapping[str, ArrowColumn]
+
+
+Transform = Mapping[str, str] | BatchTransform | ColumnTransform | RowTransform
 
 
 @dataclass(frozen=True)
@@ -69,7 +89,7 @@ class Member:
         if self.weight is not None:
             check_fraction(self.weight, "weight", upper_closed=True)
         if self.transform is not None and not isinstance(
-            self.transform, (Mapping, BatchTransform, RowTransform)
+            self.transform, (Mapping, BatchTransform, ColumnTransform, RowTransform)
         ):
             raise ValueError(
                 f"member {self.id!r}: no transform found; give SQL expressions by "

@@ -308,6 +308,12 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, lang, source, n_chars + 1 AS n_chars, lang || ':' || source AS labelled,
                CASE WHEN doc_id % 3 <> 0 THEN 9007199254740993 + doc_id END AS large
         FROM documents""",
+    "transform_columns": """
+        SELECT doc_id, lang || ':' || source AS labelled, n_chars + 1 AS n_chars
+        FROM documents WHERE doc_id >= 10 AND lang <> 'de'""",
+    "replaced_split": """
+        SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split
+        FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0""",
     "transform_rows": """
         SELECT doc_id, length(text) + len(regexp_extract_all(text, '[áàâäéèêëíìîïóòôöúùûüñçÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ]')) AS n_letters
         FROM documents""",

@@ -207,6 +207,30 @@ def transform_batches(spark, sf_dir):
     return cw.apply_transform(docs, cw.BatchTransform(longer, "n_chars bigint, labelled string"))
 
 
+@query
+def transform_columns(spark, sf_dir):
+    """Columns by Arrow functions; the filter and the projection around them reach the scan."""
+    import pyarrow.compute as pc
+
+    joined = cw.ArrowColumn(lambda lang, source: pc.binary_join_element_wise(lang, source, ":"), "string", ["lang", "source"])
+    longer = cw.ArrowColumn(lambda n: pc.add(n, 1), "bigint", ["n_chars"])
+    unused = cw.ArrowColumn(lambda t: pc.utf8_upper(t), "string", ["text"])
+    docs = cw.apply_transform(
+        table(spark, sf_dir, "documents"), cw.ColumnTransform({"labelled": joined, "n_chars": longer, "loud": unused})
+    )
+    return docs.where((F.col("doc_id") >= 10) & (F.col("lang") != "de")).select("doc_id", "labelled", "n_chars")
+
+
+@query
+def replaced_split(spark, sf_dir):
+    """A table of splits after one of them was written anew."""
+    path = scratch_path(spark, "splits")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    cw.write_splits({"train": docs.where("doc_id % 5 <> 0"), "test": docs.where("doc_id % 5 = 0")}, path)
+    cw.write_splits({"test": docs.where("doc_id % 10 = 0")}, path, mode="overwrite_splits")
+    return spark.read.schema("doc_id bigint, lang string, split string").parquet(path)
+
+
 @query
 def transform_rows(spark, sf_dir):
     def decomposed(row):
