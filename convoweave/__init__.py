@@ -29,6 +29,7 @@ from .operators.projection import (
     rename_sequential,
     select_columns,
 )
+from .operators.run_tables import keep_by_path
 from .operators.transform import apply_transform
 from .operators.weighted_sample import weighted_sample
 from .operators.whole_rows import pack_whole, plan_slots, whole_blocks
@@ -63,6 +64,7 @@ __all__ = [
     "drop_messages",
     "exact_sample",
     "invalid_messages",
+    "keep_by_path",
     "load_dataset",
     "load_member",
     "load_training_data",

@@ -562,6 +562,7 @@ ORACLE: dict[str, str] = {
         FROM entries e JOIN runs r ON r.kind = e.kind AND r.run = e.run
         WHERE NOT e.is_dir AND e.rest NOT LIKE 'checkpoint-%' AND e.rest NOT LIKE 'slurm/%'
           AND r.finished AND r.hub_model_id IS NOT NULL""",
+    "bucketed_catalogue": f"WITH {RUNS} SELECT path, finished, latest_checkpoint_step, hub_model_id FROM runs",
     "upload_by_patterns": f"""
         WITH {RUNS}
         SELECT r.hub_model_id AS repo_id, e.path AS src, e.rest AS dst

@@ -721,6 +721,15 @@ def upload_manifest(spark, sf_dir):
     )
 
 
+@query
+def bucketed_catalogue(spark, sf_dir):
+    """Runs with their ids and markers, joined bucket by bucket."""
+    listing = inputs.listing(spark, sf_dir)
+    runs = cw.keep_by_path(catalogue.summarise_runs(run_entries(listing)), buckets=8)
+    configs = cw.keep_by_path(run_configs(inputs.configs(spark, sf_dir)), column="run", buckets=8)
+    return catalogue.attach_hub_ids(runs, configs).select("path", "finished", "latest_checkpoint_step", "hub_model_id")
+
+
 # Globs with every kind of part; the twin has the same ones.
 UPLOAD_PATTERNS = {
     "ignore": ["checkpoint-*[!05]/*", "slurm/job-?.sh", "*/[k-o]*.pt", "weights-*1*.bin"],
