@@ -106,7 +106,7 @@ def fit_languages(
     """Fit on about ``sample_rows`` labelled rows, the same share for each language.
 
     The sample is drawn by text hash (rows with label and letters only), so it does not
-    depend on partitions; what reaches the driver is one vector per sampled row.
+    depend on partitions; copies count once. What reaches the driver is one vector per sampled text.
     At most ``max_languages`` labels, the most frequent, are learned. The rejection
     floor is ``margin`` times the ``quantile`` of the sample's own best cosines: low enough
     to keep short clean texts. No usable rows give a model without languages.
@@ -123,8 +123,11 @@ def fit_languages(
     each = max(1, sample_rows // len(languages))
     share = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, each / counts[lang]))])
     place = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Copies of a text are drawn together; one of them is enough, so that the bound holds whatever repeats.
+    drawn = rows.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    distinct = drawn.groupBy("lang", F.xxhash64("text").alias("_copy")).agg(F.first("text").alias("text"))
     sample = append_columns(
-        rows.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0))),
+        distinct.select("lang", "text"),
         ["text"],
         [StructField("vector", BinaryType())],
         lambda b: [[row.tobytes() for row in ngram_counts(raw_texts(b.column("text")))]],
@@ -180,8 +183,20 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
     return append_columns(docs, [text_col], PREDICTION, predict, text=text_col, keep=keep)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """The documents that are not rejected, columns as they came, those named like results included."""
+def keep_identified(
+    docs: DataFrame, model: LanguageModel, *, text_col: str = "text", unlabelled: str = "keep"
+) -> DataFrame:
+    """The documents that are not rejected, columns as they came, those named like results included.
+
+    A model that has learned no language rejects only what has no letter (``unlabelled="keep"``), or is an error (``"refuse"``).
+    """
+    if unlabelled not in ("keep", "refuse"):
+        raise ValueError(f"unlabelled must be 'keep' or 'refuse', got {unlabelled!r}")
     names = [f"_{i}" for i in range(len(docs.columns))]
-    judged = predict_languages(docs.toDF(*names), model, text_col=names[docs.columns.index(text_col)])
+    hidden, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+    if not model.languages:
+        if unlabelled == "refuse":
+            raise ValueError("no usable label: no language was learned")
+        return hidden.where(F.col(text).cast("string").rlike(r"\p{L}")).toDF(*docs.columns)
+    judged = predict_languages(hidden, model, text_col=text)
     return judged.where(~F.col("rejected")).select(*names).toDF(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import cut_lineage
 from .batches import raw_texts, slices
 from .near_dedup import _mix
-from .word_blocks import block_vocabulary, block_words, finish_blocks, pack_blocks, unpack
+from .word_blocks import block_words, finish_blocks, pack_blocks, unpack
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -273,7 +273,8 @@ def score_texts(
 
     Learns from the rows where ``held_out_col`` is false (null counts as true). Tokens are the words and
     one end. ``base_score`` is the sum of log10 of the smoothed word estimates, ``score`` that of the
-    mixture; ``weight * c / (c + half)`` is the weight of the pair after a word seen ``c`` times.
+    mixture; ``weight * c / (c + half)`` is the weight of the pair after a word seen ``c`` times. A pair counts
+    with the power of two that the filter knows of it, so that the probabilities after a word add up to one at most.
     A null or empty text is one end. Rows with one id are scored each. All pairs of ``min_count`` count; the filter
     is broadcast in blocks of ``block_bytes`` (one segment at least), with a pass over the texts for each block.
     """
@@ -283,15 +284,14 @@ def score_texts(
         F.col(id_col).alias("_id"), held.alias("_held"), (~held).alias("_train"), F.col(text_col).cast("string").alias("_text")
     )
     pairs = count_pairs(base.where("_train").select(F.col("_text").alias("text")), **count_options)
+    least = 2.0 ** math.floor(math.log2(pairs.least))
     step = max(1, min(pairs.segments, block_bytes // pairs.width(pairs.least)))
     starts = list(range(0, pairs.segments, step)) if pairs.entries(pairs.least) else []
     packed = pack_blocks(base, "_text", ["_id", "_held", "_train"])
-    found = block_words(packed, lm_words, 3, counted=2)
-    # Both sides read all columns of the words as dealt, so that they share one exchange.
-    totals = found.groupBy("word").agg(
-        F.sum("n").alias("c"), F.min("block").alias("owner"), F.max("i").alias("last")
-    ).where("last is not null")
-    joined = found.join(totals, "word").where("n <= c")  # always so
+    # Written once: the words of all blocks are summed, and then get their sums back.
+    found = cut_lineage(block_words(packed, lm_words, 3, counted=2))
+    totals = found.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("owner"))
+    joined = found.join(totals, "word")
     answers = cut_lineage(joined.select("block", "i", "c", (F.col("owner") == F.col("block")).alias("owns")))
     texts = base.agg(F.count_if("_train")).first()[0]
     words, kinds = answers.where("owns and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -301,7 +301,8 @@ def score_texts(
     def finish(shared: Broadcast, payloads: pa.Table, known: pa.Table) -> pa.Table:
         filter_ = shared.value
         (ids, held_out, _), raws = unpack(payloads.column("payload"), 3)
-        vocabulary = block_vocabulary(raws, lm_words, 1 << 30)
+        split = [lm_words(raw) for raw in raws]
+        vocabulary = sorted({w for words_ in split for w in words_})
         number = {w: i for i, w in enumerate(vocabulary)}
         count = np.zeros(len(vocabulary) + 1)
         count[known.column("i").to_numpy()] = known.column("c").to_numpy()
@@ -325,8 +326,10 @@ def score_texts(
             pair[owned] = filter_.counts(hashes[owned])
             before = np.append(texts, count[tokens[:-1]])
             share = weight * before / (before + half)
-            # A power of two stands for counts up to the next one; three quarters of that is their middle.
-            seen = np.divide(np.minimum(pair * 1.5, before), before, out=np.zeros(len(tokens)), where=before > 0)
+            # A power of two stands for counts from it on, so what all successors of a word are given is no more than its
+            # count. No pair is held below the least level: what is found there only is a false hit.
+            pair[pair < least] = 0
+            seen = np.divide(np.minimum(pair, before), before, out=np.zeros(len(tokens)), where=before > 0)
             mixed = np.where(owned, np.log10(share * seen + (1 - share) * estimate[tokens]), 0.0)
             out["n_tokens"] += sizes.tolist()
             out["n_known"] += np.add.reduceat((count[tokens] > 0).astype(np.int64), first).tolist()
@@ -335,8 +338,7 @@ def score_texts(
 
         waiting: list[np.ndarray] = []
         held_tokens = 0
-        for raw in raws:
-            words_ = lm_words(raw)
+        for words_ in split:
             waiting.append(np.append(np.fromiter(map(number.__getitem__, words_), np.int64, len(words_)), end))
             held_tokens += len(words_) + 1
             if held_tokens > TOKENS_AT_ONCE:

@@ -181,11 +181,14 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stand for their component, columns as they came."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = cut_lineage(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that stand for their component, columns as they came, whatever their names are."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    hidden = docs.toDF(*names)
+    found = near_duplicates(hidden, id_col=key, text_col=text, **options)
+    gone = cut_lineage(found.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct())
     bitmap = key_bitmap(F.xxhash64("_gone"), gone)
-    flagged = flag_known(docs, F.xxhash64(F.col(id_col)), bitmap, "_maybe_gone")
-    rest = flagged.where("_maybe_gone").join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return flagged.where("not _maybe_gone").union(rest).select(*docs.columns)
+    flagged = flag_known(hidden, F.xxhash64(F.col(key)), bitmap, "_maybe_gone")
+    rest = flagged.where("_maybe_gone").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return flagged.where("not _maybe_gone").union(rest).select(*names).toDF(*docs.columns)

@@ -151,10 +151,11 @@ def filter_urls(
     masks = GlobMasks([r.glob for r in rules]) if rules else None
     ranked = sorted(range(len(rules)), key=lambda k: (-rules[k].priority, k))
     url = F.col(url_col).cast("string")
-    located = pages.withColumns({"_host": url_host(url), "_path": url_path(url)})
+    host, path = ("_" * len(max(pages.columns, key=len)) + n for n in ("host", "path"))  # names no page has
+    located = pages.withColumns({host: url_host(url), path: url_path(url)})
 
     def judge(batch: pa.RecordBatch) -> list[list]:
-        hosts, paths = batch.column("_host"), batch.column("_path")
+        hosts, paths = batch.column(host), batch.column(path)
         texts = [b"." + h + p for h, p in zip(raw_texts(hosts), raw_texts(paths))]
         held = np.full(len(texts), -1)
         for i in range(0, len(texts) if masks else 0, URLS_PER_STEP):
@@ -169,6 +170,4 @@ def filter_urls(
         ]
 
     fields = [StructField(n, StringType()) for n in ("host", "path", "rule", "verdict")]
-    return append_columns(
-        located, ["_host", "_path"], fields, judge, keep=[c for c in pages.columns if c not in ("_host", "_path")]
-    )
+    return append_columns(located, [host, path], fields, judge, keep=pages.columns)

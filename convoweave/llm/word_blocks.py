@@ -98,11 +98,14 @@ def block_words(
 
     def collect(table: pa.Table) -> pa.Table:
         carried, texts = unpack(table.column("payload"), n_carried)
-        found = block_vocabulary(texts, words, longest)
         counts: Counter[bytes] = Counter()
-        for k, raw in enumerate(texts if counted is not None else ()):
-            if carried[counted][k]:
+        others: list[bytes | None] = []
+        for k, raw in enumerate(texts):
+            if counted is not None and carried[counted][k]:
                 counts.update(words(raw))
+            else:
+                others.append(raw)
+        found = sorted({*block_vocabulary(others, words, longest), *(w for w in counts if len(w) <= longest)})
         return pa.table(
             {
                 "block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int64()),

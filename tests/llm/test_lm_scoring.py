@@ -81,3 +81,37 @@ def test_query_beats_the_word_model_on_held_out_texts(spark):
     check(docs, found, {})
     held = [r for r in found if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def plain_scores(rows, weight=0.5, half=200.0):
+    """Scores by exact counts of pairs, each taken down to its power of two."""
+    unigrams, pairs, n_texts = Counter(), Counter(), 0
+    for _, text, held in rows:
+        if not held:
+            w = words(text)
+            unigrams.update([*w, None])
+            pairs.update(zip([None, *w], [*w, None]))
+            n_texts += 1
+    n, v = sum(unigrams.values()), len(unigrams)
+    out = {}
+    for k, text, _ in rows:
+        w, total = words(text), 0.0
+        for before, token in zip([None, *w], [*w, None]):
+            c = unigrams[before]
+            share = weight * c / (c + half)
+            seen = 2.0 ** math.floor(math.log2(pairs[before, token])) / c if pairs[before, token] > 1 else 0.0
+            total += math.log10(share * seen + (1 - share) * (unigrams[token] + 0.5) / (n + 0.5 * (v + 1)))
+        out[k] = total
+    return out, unigrams, pairs
+
+
+def test_scores_against_exact_pairs(spark):
+    rows = [(i, prose(i % 30, 25), i % 5 == 1) for i in range(90)] + [(90, None, False), (91, "never seen words", True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, held boolean").repartition(3)
+    expected, unigrams, pairs = plain_scores(rows)
+    # So many bits that false hits do not happen.
+    for r in score_texts(df, "held", bits_per_entry=400).collect():
+        assert math.isclose(r.score, expected[r.doc_id], rel_tol=1e-9), r
+    for before, c in unigrams.items():
+        mass = sum(2.0 ** math.floor(math.log2(m)) for (b, _), m in pairs.items() if b == before and m > 1)
+        assert mass <= c

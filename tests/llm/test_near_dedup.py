@@ -100,3 +100,10 @@ def test_a_bucket_of_unlike_members_loses_no_link(spark):
     labels = similar_links(shared_buckets(members), df, 80)[1]
     expected = {i: i % 5 for i in range(30)} | {100 + i: 100 for i in range(21)} | {200: 200, 201: 200}
     assert {r.v: r.label for r in labels.collect()} == expected
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    rows = [(1, prose(1, 60), "keep", 5, None, "c"), (2, prose(1, 60), "w", 6, "x", "d"), (3, prose(3, 60), "z", 7, "y", "e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _word string, _bits int, _chunk string, _c0 string")
+    out = drop_near_duplicates(df)
+    assert out.schema == df.schema and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]

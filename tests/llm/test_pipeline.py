@@ -13,7 +13,7 @@ def test_stages_in_order():
     ]
     registered = entry.queries()
     assert set(queries.QUERIES) <= set(registered) and "pipeline" in registered
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
@@ -49,6 +49,13 @@ def test_each_stage_takes_effect(spark, tmp_path):
         assert r.restored and r.n_chars == len(r.text) and r.n_tokens == len(r.ids)
 
 
+def test_clean_documents_without_labels_stay(spark, tmp_path):
+    rows = [(i, prose(50 + i, 80), None, "s", 1) for i in range(5)] + [(9, "12 34", None, "s", 5), (10, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(5))
+
+
 def test_pipeline_on_a_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").cache()
     assert 0 < out.count() <= 200

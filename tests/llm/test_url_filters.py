@@ -69,3 +69,11 @@ def test_first_of_equal_rules_holds_and_no_rules_allow(spark):
 def test_a_glob_needs_a_character():
     with pytest.raises(ValueError):
         GlobMasks(["***"])
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", "h", "p", "v")], "page_id int, url string, _host string, _path string, verdict string")
+    (row,) = filter_urls(df, []).collect()
+    assert row.asDict() == {
+        "page_id": 1, "url": "http://a.com/x", "_host": "h", "_path": "p", "host": "a.com", "path": "/x", "rule": None, "verdict": "allow",
+    }
