@@ -10,7 +10,6 @@ so that readers of some documents or of the metadata skip the rest.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -35,57 +34,98 @@ FORMAT = {
     "parquet.enable.dictionary#ids.list.element": "true",
 }
 
-_PLAIN = re.compile(rb"[a-z]+")
+# Fixed value: what closes a word in the entries of a tokenizer with word ends.
+WORD_END = "</w>"
 
 # Chunks whose ids a worker remembers, and the longest of them in bytes.
 CACHED_CHUNKS = 500_000
 CACHED_BYTES = 64
 
-# Turns raw texts into little-endian 32-bit ids, one bytes object per text.
-Encoder = Callable[[list[bytes | None]], list[bytes]]
+# Turns raw texts into the ids of all of them and the number of ids of each.
+Encoder = Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
 
 
-def chunk_encoder(path: str, end_id: int | None) -> Encoder:
+def chunk_encoder(path: str, end_id: int | None) -> Callable[[list[bytes | None]], list[bytes]]:
+    """The same as ``slice_encoder`` with little-endian 32-bit ids, one bytes object per text."""
+    encode = slice_encoder(path, end_id)
+
+    def split(texts: list[bytes | None]) -> list[bytes]:
+        ids, counts = encode(texts)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends], ends)]
+
+    return split
+
+
+def slice_encoder(path: str, end_id: int | None) -> Encoder:
     """Encoder of a tokenizer file whose pre-tokens never hold white space.
 
-    Texts are cut at ASCII white space; equal chunks are encoded once while a
-    worker remembers them. The memory is bounded and only saves work.
+    Texts are cut at ASCII white space; the distinct chunks of a slice are looked up once, and equal chunks of
+    slices are encoded once while a worker remembers them. The memory is bounded and only saves work.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     recent = Recent(CACHED_CHUNKS)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        closes[i] = token.endswith(WORD_END)
 
-    def make(chunks: list[bytes]) -> list[bytes]:
-        out: dict[bytes, bytes] = {}
-        # A lower-case word with a comma or full stop is the word and the mark.
-        marked = [c for c in chunks if c[-1:] in (b",", b".") and _PLAIN.fullmatch(c[:-1])]
-        stems = [c[:-1] for c in marked]
-        plain = {c for c in chunks if _PLAIN.fullmatch(c)}
-        rest = [c for c in chunks if c not in plain and not (c[-1:] in (b",", b".") and _PLAIN.fullmatch(c[:-1]))]
-        # Pre-tokens of a to z are their own byte-level form: the merges apply directly.
-        out.update((c, _ids(t.id for t in tokenizer.model.tokenize(c.decode()))) for c in plain)
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            texts = [c.decode("utf-8", "replace") for c in part]
-            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            out.update((c, _ids(e.ids)) for c, e in zip(part, found))
-        if marked:
-            mark = {m: _ids(tokenizer.encode(m.decode(), add_special_tokens=False).ids) for m in (b",", b".")}
-            found = recent.lookup(stems, make, CACHED_BYTES)
-            out.update((c, ids + mark[c[-1:]]) for c, ids in zip(marked, found))
-        return [out[c] for c in chunks]
-
-    def encode(texts: list[bytes | None]) -> list[bytes]:
+    def batch(chunks: list[str]) -> list[bytes]:
         out = []
-        for raw in texts:
-            # The tokenizer folds case itself, but only after it has looked for special tokens.
-            folded = (raw if b"<|" in raw else raw.lower()) if raw else b""
-            out.append(b"".join(recent.lookup(folded.split(), make, CACHED_BYTES)) + end)
+        for i in range(0, len(chunks), 4096):
+            out += [_ids(e.ids) for e in tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False)]
         return out
 
+    def joined(words: list[str]) -> list[bytes]:
+        """Words of letters only are one pre-token each: encoded as one text, they end where a token closes a word."""
+        out = []
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(closes[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                out += batch(part)
+                continue
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[x:y] for x, y in zip([0, *at], at)]
+        return out
+
+    def make(chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        # A word with a comma or full stop is the word and the mark.
+        stems = {t: t[:-1] for t in texts if t[-1] in ",." and t[:-1].isalpha()}
+        distinct = {stems.get(t, t) for t in texts}
+        letters = [t for t in distinct if t.isalpha()]
+        rest = [t for t in distinct if not t.isalpha()]
+        found = dict(zip(letters, joined(letters)))
+        found.update(zip(rest, batch(rest)))
+        if stems:
+            marks = dict(zip(",.", batch([",", "."])))
+            found.update((t, found[stem] + marks[t[-1]]) for t, stem in stems.items())
+        return [found[t] for t in texts]
+
+    def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        flat: list[bytes] = []
+        held = np.zeros(len(texts), np.int64)
+        for k, raw in enumerate(texts):
+            # The tokenizer folds case itself, but only after it has looked for special tokens.
+            chunks = ((raw if b"<|" in raw else raw.lower()) if raw else b"").split()
+            flat += chunks
+            held[k] = len(chunks)
+        words = pa.array(flat, pa.binary()).dictionary_encode()
+        values = recent.lookup(words.dictionary.to_pylist(), make, CACHED_BYTES)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.uint32)))
+        ids = lists.take(words.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[words.indices.to_numpy()])])[np.cumsum(held)]
+        counts = np.diff(ends, prepend=0)
+        if end_id is not None:
+            ids, counts = np.insert(ids, ends, end_id), counts + 1
+        return ids, counts
+
     return encode
 
 
@@ -96,12 +136,9 @@ def _ids(ids) -> bytes:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _id_lists(encoded: list[bytes]) -> pa.ListArray:
-    sizes = np.fromiter((len(e) // 4 for e in encoded), np.int64, len(encoded))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(
-        pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32())
-    )
+def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
 
 
 def write_token_files(
@@ -123,11 +160,11 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (tokenizer, end_id)
         if key not in _ENCODERS:
-            _ENCODERS[key] = chunk_encoder(tokenizer, end_id)
+            _ENCODERS[key] = slice_encoder(tokenizer, end_id)
         part, pos = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "_text"):
-                ids = _id_lists(_ENCODERS[key](raw_texts(batch.column("_text"))))
+                ids = _id_lists(*_ENCODERS[key](raw_texts(batch.column("_text"))))
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
