@@ -76,11 +76,24 @@ def glob_regex(pattern: str) -> str:
 
 
 def matches_any(path: Column, patterns: Sequence[str]) -> Column:
-    """Whether one of the patterns covers the path. Null paths match nothing, and so does an empty list."""
-    if not patterns:
-        return F.lit(False)
-    either = "|".join(f"(?:{glob_regex(p)})" for p in dict.fromkeys(patterns))
-    return F.coalesce(path.rlike(rf"(?s)\A(?:{either})\z"), F.lit(False))
+    """Whether one of the patterns covers the path. Null paths match nothing, and so does an empty list.
+
+    Plain beginnings (``dir/*``) and endings (``*.bin``) are compared as such; all others are one alternation.
+    """
+    hit, others = F.lit(False), []
+    for pattern in dict.fromkeys(patterns):
+        text = pattern.strip("*")
+        if any(c in text for c in "*?[") or (pattern[:1] == pattern[-1:] == "*"):
+            others.append(f"(?:{glob_regex(pattern)})")
+        elif pattern.endswith("*"):
+            hit = hit | F.startswith(path, F.lit(text))
+        elif pattern.startswith("*"):
+            hit = hit | F.endswith(path, F.lit(text))
+        else:
+            hit = hit | (path == text)
+    if others:
+        hit = hit | path.rlike(rf"(?s)\A(?:{'|'.join(others)})\z")
+    return F.coalesce(hit, F.lit(False))
 
 
 def table_patterns(table: DataFrame, column: str = "pattern") -> list[str]:
