@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoweave import assemble_messages
+from convoweave.streaming.rows import stream_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same as a stream, be the table one file or a folder of files.
+
+    A plain path has to be a folder for a stream, and a glob on file names misses the files inside one; braces match either.
+    """
+    return stream_table(spark, f"{sf_dir.rstrip('/')}/{{{name}.parquet}}", table(spark, sf_dir, name).schema)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
 

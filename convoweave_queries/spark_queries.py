@@ -17,7 +17,7 @@ from convoweave.plans.training_text import split_invalid
 from convoweave.sources.listing import run_configs, run_entries
 from convoweave.sources.scratch import scratch_path
 from convoweave.streaming.runs import current_runs, stream_runs
-from convoweave.streaming.rows import run_available, stream_member, stream_table, stream_text
+from convoweave.streaming.rows import run_available, stream_member, stream_text
 
 from . import inputs
 from .inputs import table
@@ -751,8 +751,7 @@ def upload_by_patterns(spark, sf_dir):
 @query
 def stream_run_status(spark, sf_dir):
     """Runs as a stream of file entries leaves them, once the source is drained."""
-    schema = table(spark, sf_dir, "events").schema
-    events = stream_table(spark, sf_dir, schema, files="events.parquet")
+    events = inputs.table_stream(spark, sf_dir, "events")
     path = scratch_path(spark, "stream")
     updates = stream_runs(inputs.listing_of(events, "ts"), repeats_within="400 days")
     run_available(updates, f"{path}/data", f"{path}/state")
@@ -769,8 +768,7 @@ def stream_documents(spark, sf_dir):
         transform=ONE_MESSAGE,
         final_columns=["doc_id", "messages"],
     )
-    schema = table(spark, sf_dir, "documents").schema
-    stream = stream_table(spark, sf_dir, schema, files="documents.parquet")
+    stream = inputs.table_stream(spark, sf_dir, "documents")
     path = scratch_path(spark, "stream")
     run_available(
         stream_text(stream_member(stream, member), eos=EOS), f"{path}/data", f"{path}/state"

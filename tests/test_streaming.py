@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import convoweave as cw
+from __spark_entry__ import QUERIES
 from convoweave.streaming.rows import run_available, stream_member, stream_table, stream_text
 
 from plan_checks import MESSAGES
@@ -39,3 +40,19 @@ def test_what_needs_whole_tables_refuses_streams(spark, tmp_path):
         cw.turn_spans(stream, eos=EOS, key="id")
     with pytest.raises(ValueError):
         stream_table(spark, str(tmp_path), stream.schema, format="avro")
+
+
+@pytest.mark.parametrize("folder", [False, True])
+@pytest.mark.parametrize("name,of", [("stream_documents", "documents"), ("stream_run_status", "events")])
+def test_a_table_of_one_file_or_of_many(spark, sf_dir, tmp_path, name, of, folder):
+    """``documents.parquet`` may be a folder of part files; a glob on file names missed all of them."""
+    query = QUERIES[name]
+    few = spark.read.parquet(f"{sf_dir}/{of}.parquet").limit(60)
+    if folder:
+        few.repartition(3).write.parquet(str(tmp_path / f"{of}.parquet"))
+    else:
+        few.coalesce(1).write.parquet(str(tmp_path / "one"))
+        (file,) = (tmp_path / "one").glob("*.parquet")
+        file.rename(tmp_path / f"{of}.parquet")
+    rows = query(spark, str(tmp_path)).collect()
+    assert len(rows) == (60 if of == "documents" else few.select("user_id").distinct().count())
