@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 
 from convoweave.operators.catalogue import summarise_runs
 from convoweave.sources.listing import run_entries
 from convoweave.streaming.rows import run_available, stream_table
-from convoweave.streaming.runs import current_runs, stream_runs
+from convoweave.streaming.runs import _parts, current_runs, stream_runs
 
 SCHEMA = "path string, is_dir boolean, ts timestamp"
 START = datetime(2024, 1, 1)
@@ -111,3 +112,35 @@ def test_nothing_to_read(spark, tmp_path):
 def test_tables_are_refused(spark):
     with pytest.raises(ValueError, match="summarise_runs"):
         stream_runs(spark.createDataFrame([], SCHEMA))
+
+
+def test_only_paths_of_runs_are_state(spark, tmp_path):
+    """A state per run and part in Python took 8 ms each, and paths outside the runs were remembered too."""
+    rows = [(f"results/sft/r{i}/a.bin", False, at(0)) for i in range(30)]
+    write(spark, str(tmp_path / "in"), rows + [(f"logs/{i}", False, at(1)) for i in range(50)])
+    stream = stream_table(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema)
+    query = (
+        stream_runs(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    assert [[s.numRowsTotal for s in p.stateOperators] for p in query.recentProgress if p.numInputRows] == [[30]]
+
+
+@pytest.mark.parametrize("at_once", [1, 4, 10, 1000])
+def test_parts_are_folded_in_bounded_batches(at_once):
+    names = ["kind", "run", "part", "version", "listed", "finished", "step", "first_script", "last_script", "override", "files", "last_new"]
+    rows = [("sft", f"r{i % 7}", 0, 0, True, i == 9, i, f"s{i}", f"s{i}", None, 1, at(i)) for i in range(60)]
+    table = pa.table([pa.array(c) for c in zip(*rows)], names).cast(pa.schema([
+        *((n, pa.string()) for n in names[:2]), ("part", pa.int32()), ("version", pa.int64()), ("listed", pa.bool_()),
+        ("finished", pa.bool_()), ("step", pa.int64()), *((n, pa.string()) for n in names[7:10]), ("files", pa.int64()),
+        ("last_new", pa.timestamp("us")),
+    ]))
+    out = pa.Table.from_batches(_parts(iter(table.to_batches(max_chunksize=3)), 5 << 32, at_once)).to_pylist()
+    assert len({(r["run"], r["version"]) for r in out}) == len(out) and min(r["version"] for r in out) == 5 << 32
+    for k in range(7):
+        own = [r for r in out if r["run"] == f"r{k}"]
+        assert sum(r["files"] for r in own) == len(range(k, 60, 7))
+        assert max(r["step"] for r in own) == max(range(k, 60, 7))
+        assert min(r["first_script"] for r in own) == min(f"s{i}" for i in range(k, 60, 7))
+        assert any(r["finished"] for r in own) == (k == 2)
