@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import POSITIONS, position, position_prefix, row_key, stage_digest
 from ..spec import check_fraction
+from .copies import with_content_key
 
 SLOTS = 1024
 FETCH_ROWS = 20_000
@@ -31,6 +32,7 @@ _SIGMAS = 6.0
 
 _DIGEST = "_digest"
 _KEY = "_row_key"
+_COPY = "_content_key"
 
 
 @dataclass(frozen=True)
@@ -38,12 +40,14 @@ class Cut:
     """The last kept digest; without one either all or no rows are kept.
 
     ``key`` is set only if the next row shares the digest, so that the filter
-    computes one digest per row and compares keys in that case alone.
+    computes one digest per row and compares keys in that case alone. Where rows may
+    share a key, ``tied`` says how many of the last key's are kept, if not all.
     """
 
     digest: str | None = None
     key: str | None = None
     keep_all: bool = False
+    tied: int | None = None
 
     def keeps(self, digest: Column, key: Column) -> Column:
         if self.digest is None:
@@ -86,11 +90,13 @@ def find_cuts(
     *,
     fetch_rows: int = FETCH_ROWS,
     slots: int = SLOTS,
+    ties: bool = False,
 ) -> dict[str, Cut]:
     """Cuts that keep exactly ``wanted`` of ``totals`` rows, for several tables at once.
 
     Each frame of ``keys`` has the columns ``_digest`` and ``_row_key``. All
     tables share each job, so the number of jobs does not grow with them.
+    Rows that share a key at the cut are an error, or with ``ties`` counted in ``Cut.tied``.
     """
     cuts: dict[str, Cut] = {}
     intervals: dict[str, _Interval] = {}
@@ -103,13 +109,17 @@ def find_cuts(
             intervals[name] = _Interval(0, POSITIONS, totals[name], k)
 
     while wide := {n: i for n, i in intervals.items() if i.rows > fetch_rows}:
-        for name, interval in wide.items():
-            if interval.high - interval.low <= 1:
-                raise DuplicateKeys(f"{name}: {interval.rows} rows share one row key")
+        single = [name for name, interval in wide.items() if interval.high - interval.low <= 1]
+        if single and not ties:
+            raise DuplicateKeys(f"{single[0]}: {wide[single[0]].rows} rows share one row key")
+        for name in single:
+            del wide[name]
+        if not wide:
+            break
         intervals.update(_narrow(keys, wide, slots))
 
     if intervals:
-        cuts.update(_fetch(keys, intervals))
+        cuts.update((_fetch_tied if ties else _fetch)(keys, intervals))
     return cuts
 
 
@@ -187,6 +197,34 @@ def _fetch(keys: Mapping[str, DataFrame], intervals: Mapping[str, _Interval]) ->
     return cuts
 
 
+def _fetch_tied(keys: Mapping[str, DataFrame], intervals: Mapping[str, _Interval]) -> dict[str, Cut]:
+    """The same where rows may share a key: keys are counted first, however many rows have one."""
+    frames = [
+        _between(keys[name], i.low, i.high).select(
+            F.lit(name).alias("member"), _DIGEST, _KEY, F.lit(i.rank).alias("rank")
+        )
+        for name, i in intervals.items()
+    ]
+    order = Window.partitionBy("member").orderBy(_DIGEST, _KEY)
+    counted = _union(frames).groupBy("member", _DIGEST, _KEY, "rank").agg(F.count(F.lit(1)).alias("n"))
+    around = (
+        counted.withColumn("place", F.sum("n").over(order))
+        .withColumn("next", F.lead(_DIGEST).over(order))
+        .where((F.col("place") >= F.col("rank")) & (F.col("place") - F.col("n") < F.col("rank")))
+    )
+    cuts: dict[str, Cut] = {}
+    for row in around.collect():  # one row per member
+        kept = row["rank"] - (row["place"] - row["n"])
+        if kept < row["n"]:
+            cuts[row["member"]] = Cut(row[_DIGEST], row[_KEY], tied=kept)
+        else:
+            cuts[row["member"]] = Cut(row[_DIGEST], row[_KEY] if row["next"] == row[_DIGEST] else None)
+    for name in intervals:
+        if name not in cuts:
+            raise RuntimeError(f"{name}: the table changed while its cut was being found")
+    return cuts
+
+
 def _between(frame: DataFrame, low: int, high: int) -> DataFrame:
     """Rows in ``[low, high)``; the rarer condition goes first, since each one
     computes the digest again."""
@@ -216,10 +254,13 @@ def exact_sample(
     member: str = "",
     total: int | None = None,
     fetch_rows: int = FETCH_ROWS,
+    by_content: bool = False,
 ) -> DataFrame:
     """Keep exactly ``k`` (or ``int(n * fraction)``) rows, nested for one seed.
 
-    ``key_cols`` must identify a row. Pass ``total`` if the row count is known.
+    ``key_cols`` must identify a row, or at least the rows around the cut. With ``by_content`` rows may share a key: if
+    only some of a key's rows can be kept, those follow each other by the content of all columns, equal ones by number.
+    Pass ``total`` if the row count is known.
     The keys are read two or three times: write a costly input to storage first.
     """
     _batch_only(df, "exact_sample")
@@ -234,9 +275,14 @@ def exact_sample(
     key = row_key(key_cols)
     digest = stage_digest(seed, stage, member, key)
     cut = find_cuts(
-        {member: key_frame(df, digest, key)}, {member: k}, {member: n}, fetch_rows=fetch_rows
+        {member: key_frame(df, digest, key)}, {member: k}, {member: n}, fetch_rows=fetch_rows, ties=by_content
     )[member]
-    return df.where(cut.keeps(digest, key))
+    if cut.tied is None:
+        return df.where(cut.keeps(digest, key))
+    last = (digest == cut.digest) & (key == cut.key)
+    tied = with_content_key(df.where(last), _COPY)
+    some = exact_sample(tied, [_COPY], k=cut.tied, seed=seed, stage=stage, member=member, fetch_rows=fetch_rows)
+    return df.where(cut.keeps(digest, key) & ~last).unionAll(some.drop(_COPY))
 
 
 def split_cut(

@@ -262,9 +262,10 @@ def sample_by_row_weight(spark, sf_dir):
 
 @query
 def sample_composite_key(spark, sf_dir):
+    """Lines of one order may share a number; the cut may fall between them."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return cw.exact_sample(
-        lines, ["l_orderkey", "l_linenumber"], fraction=0.29, seed=SEED, member="line"
+        lines, ["l_orderkey", "l_linenumber"], fraction=0.29, seed=SEED, member="line", by_content=True
     )
 
 

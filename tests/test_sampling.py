@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+from collections import Counter
+from hashlib import md5
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -82,6 +84,23 @@ def test_duplicate_keys_are_reported_not_kept_together(spark, fetch_rows):
         cw.exact_sample(twins, ["id"], k=100, fetch_rows=fetch_rows)
 
 
+@pytest.mark.parametrize("fetch_rows", [2, 1000])
+def test_rows_that_share_a_key_are_cut_by_content(spark, fetch_rows):
+    """Such keys raised an error wherever the cut fell between their rows."""
+    shared = spark.range(500).selectExpr("id div 5 % 40 AS key", "id % 5 % 3 AS value")
+    key = lambda r: (md5(f"0:sample::{r[0]}".encode()).hexdigest(), str(r[0]))
+    rows = sorted((tuple(r) for r in shared.collect()), key=key)
+    before = Counter()
+    for k in (1, 7, 123, 124, 125, 126, 250, 499):
+        kept = Counter(map(tuple, cw.exact_sample(shared, ["key"], k=k, fetch_rows=fetch_rows, by_content=True).collect()))
+        assert kept.total() == k and kept <= Counter(rows)
+        assert sorted(a for a, _ in kept.elements()) == sorted(a for a, _ in rows[:k])
+        assert before <= kept  # nested
+        before = kept
+    twins = spark.range(500).withColumn("id", F.lit(7))
+    assert cw.exact_sample(twins, ["id"], k=100, fetch_rows=fetch_rows, by_content=True).count() == 100
+
+
 def test_null_keys_are_rows_too(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, NULL), (3, 'b') AS t(id, k)")
     parts = cw.train_test_split(df, ["k"], test_size=0.3)
