@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 MASKED = "struct<ids:array<int>,mask:array<boolean>>"
 
-# Texts encoded in one call, so that what a worker holds does not grow with the Arrow batch.
+# Texts encoded in one call: up to so many, or so many characters if that is less. Answers are Python objects of a hundred
+# bytes a token; they are turned into Arrow before the next call, so a worker holds those of one call only.
 _AT_ONCE = 64
+_CHARACTERS_AT_ONCE = 1 << 18
+_IDS_AT_ONCE = 1 << 16
 
 
 class Encoder(Protocol):
@@ -95,7 +98,10 @@ class OffsetTokenizer:
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            return _lists([None if r is None else r[0] for r in _encoded(encoder, texts)], pa.int32())
+            parts = [
+                _lists([None if r is None else r[0] for r in rows], pa.int32()) for rows in _encoded(encoder, texts)
+            ]
+            return pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
 
         return ids(text)
 
@@ -108,12 +114,16 @@ class OffsetTokenizer:
 
         @F.arrow_udf(MASKED)
         def tokens(texts: pa.Array, pieces: pa.Array) -> pa.Array:
-            found, masks = [], []
-            for row, spans in zip(_encoded(encoder, texts), _spans(pieces)):
-                found.append(None if row is None else row[0])
-                masks.append(None if row is None else span_mask(*map(np.asarray, row[1:]), spans, straddling))
+            found, masks, spans = [], [], _spans(pieces)
+            for rows in _encoded(encoder, texts):
+                found.append(_lists([None if r is None else r[0] for r in rows], pa.int32()))
+                masks.append(_lists([
+                    None if r is None else span_mask(*map(np.asarray, r[1:]), s, straddling) for r, s in zip(rows, spans)
+                ], pa.bool_()))
+            if not found:
+                return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_()))]))
             return pa.StructArray.from_arrays(
-                [_lists(found, pa.int32()), _lists(masks, pa.bool_())], ["ids", "mask"], mask=texts.is_null()
+                [pa.concat_arrays(found), pa.concat_arrays(masks)], ["ids", "mask"], mask=texts.is_null()
             )
 
         return tokens(text, pieces)
@@ -134,12 +144,25 @@ def _spans(pieces: pa.Array):
         yield np.stack([(at + start)[speaks], (at + end)[speaks]], axis=1)
 
 
+def _calls(sizes: Sequence[int], rows: int, total: int):
+    """``(from, to)`` of consecutive rows, up to ``rows`` of them and no more than ``total`` unless one alone has more."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == rows or held + size > total):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _encoded(encoder: Encoder, texts: pa.Array):
-    for i in range(0, len(texts), _AT_ONCE):
-        part = texts.slice(i, _AT_ONCE).to_pylist()
+    """Call by call the answers to its texts, None for a null one."""
+    sizes = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_pylist()
+    for start, end in _calls(sizes, _AT_ONCE, _CHARACTERS_AT_ONCE):
+        part = texts.slice(start, end - start).to_pylist()
         answers = iter(encoder.encode([t for t in part if t is not None]))
-        for t in part:
-            yield None if t is None else next(answers)
+        yield [None if t is None else next(answers) for t in part]
 
 
 def _lists(rows: list, type_: pa.DataType) -> pa.Array:
@@ -151,7 +174,12 @@ def token_decoder(decode: Callable[[list[list[int]]], list[str]]) -> Callable[[C
 
     @F.arrow_udf("string")
     def texts(ids: pa.Array) -> pa.Array:
-        answers = iter(decode([x for x in ids.to_pylist() if x is not None]))
-        return pa.array([next(answers) if known else None for known in ids.is_valid().to_pylist()], pa.string())
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_pylist()
+        parts = []
+        for start, end in _calls(sizes, len(sizes), _IDS_AT_ONCE):
+            rows = ids.slice(start, end - start).to_pylist()
+            answers = iter(decode([x for x in rows if x is not None]))
+            parts.append(pa.array([None if x is None else next(answers) for x in rows], pa.string()))
+        return pa.concat_arrays(parts or [pa.array([], pa.string())])
 
     return texts

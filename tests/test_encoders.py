@@ -130,3 +130,30 @@ def test_nulls_and_decoding(spark):
 def test_a_lister_has_no_masks(chats):
     with pytest.raises(ValueError, match="offsets"):
         cw.sft_text(chats(*CHATS), eos=EOS, masked=True, tokenizer=cw.token_lister(lambda t: [[1]] * len(t)))
+
+
+def test_workers_hold_the_answers_of_one_bounded_call(spark):
+    """64 long texts were one call, and all ids of an Arrow batch were decoded at once."""
+
+    class Strict:
+        """An encoder of characters that refuses calls of more text than a worker should hold answers of."""
+
+        def encode(self, texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 1 << 18
+            return [(list(map(ord, t)), list(range(len(t))), list(range(1, len(t) + 1))) for t in texts]
+
+        def decode(self, ids):
+            assert len(ids) == 1 or sum(map(len, ids)) <= 1 << 16
+            return ["".join(map(chr, row)) for row in ids]
+
+    rows = spark.range(0, 90, 1, 1).selectExpr("id", "if(id % 7 = 3, null, repeat(chr(65 + id % 20), 40 + 10000 * (id % 3))) AS text")
+    tokenizer, decode = cw.OffsetTokenizer(Strict()), cw.token_decoder(Strict().decode)
+    pieces = F.expr("array(struct(length(text) AS length, 10 AS start, 30 AS `end`))")
+    found = rows.select("id", "text", tokenizer(F.col("text")).alias("ids"), tokenizer.masked(F.col("text"), pieces).alias("m"))
+    for r in found.select("*", decode(F.col("ids")).alias("again")).collect():
+        assert r.again == r.text
+        if r.text is None:
+            assert r.ids is None and r.m is None
+        else:
+            assert r.m.ids == r.ids == [ord(c) for c in r.text]
+            assert r.m.mask == [10 <= i < 30 for i in range(len(r.text))]
