@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from convoweave.llm.stars import shared_buckets, similar_links
+from convoweave.llm.stars import _prefix_buckets, shared_buckets, similar_links
 
 
 def roots(sets, buckets):
@@ -46,3 +46,18 @@ def test_cut_versions_of_a_text_with_many_copies(spark):
     found = {v: v for v in sets} | {r.v: r.label for r in labels.collect()}
     assert found == roots(sets, buckets)
     assert links.where(F.col("a") == F.col("b")).isEmpty()
+
+
+def test_copies_too_far_from_all_others_are_not_compared(spark):
+    """Each has 15 items of its own among 100 and the same rare rest; every pair of them was compared before."""
+    base = list(range(100))
+    sets = {v: [x if not v <= x < v + 15 else 1000 * (v + 1) + x for x in base] for v in range(60)}
+    sets |= {60: base, 61: [-1, *base[1:]]}
+    df = spark.createDataFrame([(v, x, 100) for v, x in sets.items()], "v bigint, items array<bigint>, n int")
+    starred = spark.createDataFrame([(99, v) for v in sets], "c bigint, v bigint")
+    labels = spark.createDataFrame([], "v bigint, label bigint")
+    buckets = _prefix_buckets(starred, labels, df, 80, lambda items: items)
+    assert {r.v for r in buckets.select("v").collect()} <= {60, 61}
+    members = starred.select(F.col("c").alias("key"), "v")
+    links, _ = similar_links(shared_buckets(members), df, 80)
+    assert {tuple(r) for r in links.collect()} == {(60, 61)}
