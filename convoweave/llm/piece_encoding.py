@@ -21,6 +21,8 @@ from .word_blocks import block_vocabulary, block_words, finish_blocks, pack_bloc
 # Longer words, in bytes, get no rows of the lattice: the same dynamic program runs over them
 # where their text is, with memory in proportion to their length.
 LATTICE_BYTES = 96
+# A partition's lattice is grouped in memory, some twenty edges a word, so words are dealt more finely than texts.
+SPREAD = 8
 
 
 def segment_words(words: DataFrame, pieces: Pieces, vocabulary: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text_col: str = "text", out: s
     names = [f"_c{i}" for i in range(len(carried))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.col(f"`{text_col}`").alias("_text"))
     packed = pack_blocks(plain, "_text", names)
-    found = block_words(packed, piece_words, len(names), LATTICE_BYTES)
+    found = block_words(packed, piece_words, len(names), LATTICE_BYTES, spread=SPREAD)
     space = F.replace(F.col("word").cast("string"), F.lit(" "), F.lit(SPACE))
     # Reads all columns of the words as dealt, like the join below, so that both share one exchange.
     once = found.groupBy("word").agg(F.max("block").alias("b"), F.max("i").alias("i"))

@@ -89,11 +89,12 @@ def block_vocabulary(texts: list[bytes | None], words: Words, longest: int) -> l
 
 
 def block_words(
-    packed: DataFrame, words: Words, n_carried: int, longest: int = 1 << 30, counted: int | None = None
+    packed: DataFrame, words: Words, n_carried: int, longest: int = 1 << 30, counted: int | None = None, spread: int = 1
 ) -> DataFrame:
     """``(block, i, word)``, dealt by word: word ``i`` of a block's vocabulary.
 
     With ``counted``, ``n`` counts its occurrences in the documents where that carried column is true.
+    ``spread`` is how many times as many partitions there are as a shuffle has.
     """
 
     def collect(table: pa.Table) -> pa.Table:
@@ -119,7 +120,7 @@ def block_words(
     return (
         packed.groupBy("block")
         .applyInArrow(collect, "block bigint, i int, word binary" + ("" if counted is None else ", n bigint"))
-        .repartition(parts, "word")
+        .repartition(parts * spread, "word")
     )
 
 

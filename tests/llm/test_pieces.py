@@ -84,3 +84,10 @@ def test_no_rows_and_null_ids(spark, no_rows):
     assert count_tokens(no_rows, PIECE_MODEL).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [1, 2])], "k int, ids array<int>")
     assert {r.k: r.decoded for r in decode_pieces(odd, PIECE_MODEL).collect()} == {1: None, 2: "", 3: ""}
+
+
+def test_lattices_are_grouped_in_small_parts(spark, edges):
+    """As many parts as a shuffle has made the edges of 400,000 words spill from each."""
+    plan = encode_pieces(edges, PIECE_MODEL)._jdf.queryExecution().executedPlan().toString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "hashpartitioning(word" in plan and f", {8 * parts}), REPARTITION_BY_NUM" in plan
